@@ -1 +1,11 @@
-"""Operators for preparing training corpora; nothing else in the library imports them."""
+"""Operators for preparing training corpora; nothing else in the library imports them.
+
+Their functions travel to the executors by value, so the executors need no copy
+of the repository on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracles
+from . import decision_list, oracles, subword_classifier
 from .common import table
 from .curriculum_mix import curriculum_mix, in_training_order
+from .range_shards import shard_by_ranges
 
 
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +18,29 @@ def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.select("doc_id", "size", "source_size", "target", "taken", F.floor(F.col("position") * 1e9).alias("position_ppb"))
 
 
+def op6_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_by_ranges(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op7_subword_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = subword_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    held = subword_classifier.fold(F.col("doc_id")) == subword_classifier.HELD_FOLD
+    return subword_classifier.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = decision_list.learn_rules(docs, table(spark, sf_dir, "labels"))
+    return decision_list.apply_rules(docs, rules).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rule").alias("fired_rule"), "kept"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_curriculum_mix": op4_curriculum_mix}
+    return {f.__name__: f for f in (op4_curriculum_mix, op6_range_shards, op7_subword_classifier, op9_decision_list)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, oracles, subword_classifier
+from . import decision_list, oracles, piece_codec, subword_classifier
 from .common import table
 from .curriculum_mix import curriculum_mix, in_training_order
 from .range_shards import shard_by_ranges
+from .va_topk import top_k
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piece_codec.encode(table(spark, sf_dir, "documents"), PIECES)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.element_at("ends", -1).cast("long").alias("bytes_spanned"),
+    )
 
 
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,9 +51,13 @@ def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_va_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_curriculum_mix, op6_range_shards, op7_subword_classifier, op9_decision_list)}
+    return {f.__name__: f for f in (op2_piece_codec, op4_curriculum_mix, op6_range_shards, op7_subword_classifier, op8_va_topk, op9_decision_list)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_curriculum_mix": oracles.CURRICULUM_MIX}
+    return {"op4_curriculum_mix": oracles.CURRICULUM_MIX, "op8_va_topk": oracles.VA_TOPK}

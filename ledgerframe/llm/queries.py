@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import decision_list, oracles, piece_codec, subword_classifier
 from .common import table
 from .curriculum_mix import curriculum_mix, in_training_order
+from .host_boilerplate import main_text
 from .range_shards import shard_by_ranges
 from .va_topk import top_k
 
@@ -25,6 +26,10 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_host_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "boilerplate_words")
+
+
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = in_training_order(curriculum_mix(table(spark, sf_dir, "documents")))
     return ordered.select("doc_id", "size", "source_size", "target", "taken", F.floor(F.col("position") * 1e9).alias("position_ppb"))
@@ -56,7 +61,7 @@ def op8_va_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_piece_codec, op4_curriculum_mix, op6_range_shards, op7_subword_classifier, op8_va_topk, op9_decision_list)}
+    return {f.__name__: f for f in (op2_piece_codec, op3_host_boilerplate, op4_curriculum_mix, op6_range_shards, op7_subword_classifier, op8_va_topk, op9_decision_list)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,6 +13,7 @@ from .common import table
 from .curriculum_mix import curriculum_mix, in_training_order
 from .host_boilerplate import main_text
 from .range_shards import shard_by_ranges
+from .simhash_tiles import near_duplicates
 from .va_topk import top_k
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -60,8 +61,13 @@ def op8_va_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op10_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_piece_codec, op3_host_boilerplate, op4_curriculum_mix, op6_range_shards, op7_subword_classifier, op8_va_topk, op9_decision_list)}
+    return {f.__name__: f for f in (op2_piece_codec, op3_host_boilerplate, op4_curriculum_mix, op6_range_shards, op7_subword_classifier, op8_va_topk, op9_decision_list, op10_simhash_tiles)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, oracles, piece_codec, subword_classifier
+from . import context_pii, decision_list, oracles, piece_codec, subword_classifier
 from .common import table
 from .curriculum_mix import curriculum_mix, in_training_order
 from .host_boilerplate import main_text
@@ -36,6 +36,12 @@ def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.select("doc_id", "size", "source_size", "target", "taken", F.floor(F.col("position") * 1e9).alias("position_ppb"))
 
 
+def op5_context_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = context_pii.find_personal_data(table(spark, sf_dir, "documents"))
+    counts = (F.size(F.filter("base", context_pii.of_kind(i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(context_pii.KINDS))
+    return found.select("doc_id", *counts, F.sha2(context_pii.written(F.col("base")).cast("binary"), 256).alias("base_sha256"), context_pii.written(F.col("spans")).alias("spans"))
+
+
 def op6_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_ranges(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -66,8 +72,14 @@ def op10_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_piece_codec, op3_host_boilerplate, op4_curriculum_mix, op6_range_shards, op7_subword_classifier, op8_va_topk, op9_decision_list, op10_simhash_tiles)}
+    return {f.__name__: f for f in (op2_piece_codec, op3_host_boilerplate, op4_curriculum_mix, op5_context_pii, op6_range_shards, op7_subword_classifier, op8_va_topk, op9_decision_list, op10_simhash_tiles, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,11 +14,17 @@ from .curriculum_mix import curriculum_mix, in_training_order
 from .host_boilerplate import main_text
 from .range_shards import shard_by_ranges
 from .simhash_tiles import near_duplicates
+from .suffix_dedup import remove_repeats
 from .va_topk import top_k
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = piece_codec.encode(table(spark, sf_dir, "documents"), PIECES)
     return coded.select(
@@ -79,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_piece_codec, op3_host_boilerplate, op4_curriculum_mix, op5_context_pii, op6_range_shards, op7_subword_classifier, op8_va_topk, op9_decision_list, op10_simhash_tiles, pipeline)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_piece_codec, op3_host_boilerplate, op4_curriculum_mix, op5_context_pii, op6_range_shards, op7_subword_classifier, op8_va_topk, op9_decision_list, op10_simhash_tiles, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

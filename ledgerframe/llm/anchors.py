@@ -72,4 +72,11 @@ def anchored_runs(symbols: np.ndarray, bounds: np.ndarray, gram: int, length: in
         which = np.repeat(np.arange(len(starts)), pieces)
         nth = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         starts, counts = starts[which] + nth * longest, np.minimum(longest, counts[which] - nth * longest)
-    return owner[starts], starts, counts, keys[starts]
+    return owner[starts], starts, counts, _spread(keys[starts])
+
+
+def _spread(keys: np.ndarray) -> np.ndarray:
+    """Smallest hashes crowd near zero; this one-to-one mix spreads them over all numbers."""
+    keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    keys = (keys ^ (keys >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return keys ^ (keys >> np.uint64(33))

@@ -55,6 +55,7 @@ def completed_activities(messages: DataFrame, expected: DataFrame) -> DataFrame:
     """
     arrival = Window.partitionBy("activity_id").orderBy("ts", "message_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = F.when(F.col("is_last") & (F.col("domain") != "PREPROCESSING"), weight_of("domain")).otherwise(0)
+    messages = messages.select("activity_id", "message_id", "ts", "account_id", "domain", "date", "is_last")
     running = messages.join(expected.select("activity_id", "expected"), "activity_id").withColumn("sum", F.sum(counted).over(arrival))
     marked = running.withColumn("done", F.max((F.col("sum") == F.col("expected")).cast("int")).over(arrival))
     earlier = Window.partitionBy("activity_id").orderBy("ts", "message_id").rowsBetween(Window.unboundedPreceding, -1)

@@ -75,11 +75,15 @@ def _unpack48(blob: bytes, bucket: int, bits: int) -> np.ndarray:
 
 
 class Block:
-    """A block's documents and the runs of their windows."""
+    """A block's documents, by id and text whatever order the shuffle gave, and the runs of their windows."""
 
     def __init__(self, table: pa.Table):
-        self.ids = table.column("doc_id").fill_null(NO_ID).to_numpy()
-        texts = table.column("text").to_pylist()
+        ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
+        keys = [NO_ID if i is None else i for i in ids]
+        order = sorted(range(len(keys)), key=lambda i: (keys[i], texts[i]))
+        self.own_ids = [ids[i] for i in order]
+        self.ids = np.array([keys[i] for i in order], dtype=np.int64)
+        texts = [texts[i] for i in order]
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         self.bounds = np.concatenate(([0], np.cumsum(sizes)))
         self.data = b"".join(texts)
@@ -301,7 +305,7 @@ def _cut_out(documents: pa.Table, answers: pa.Table, bits: int) -> pa.Table:
             np.add.at(cover, contexts.starts[of] + ranges[at, 2] + LENGTH - 1, -1)
         removed = np.cumsum(cover[:-1]) > 0
         data = np.frombuffer(block.data, dtype=np.uint8)
-        for doc_id, a, b in zip(documents.column("doc_id").to_pylist(), block.bounds[:-1].tolist(), block.bounds[1:].tolist(), strict=True):
+        for doc_id, a, b in zip(block.own_ids, block.bounds[:-1].tolist(), block.bounds[1:].tolist(), strict=True):
             here = removed[a:b]
             out["doc_id"].append(doc_id)
             out["n_bytes"].append(b - a)

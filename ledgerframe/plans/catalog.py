@@ -180,6 +180,10 @@ def j2(fx):
     return greedy.reconcile_default(fx.upstream, fx.stored)
 
 
+#: Accounts in which an external id occurs more than once on a side.
+_COLLIDING = " UNION ALL ".join(f"SELECT account_id FROM {side} WHERE external_id IS NOT NULL GROUP BY account_id, external_id HAVING count(*) > 1" for side in ("fx_upstream", "fx_stored"))
+
+
 @query("j2_collision_free", f"""
 WITH ub AS (SELECT * FROM fx_upstream WHERE external_id IS NOT NULL AND copy_no = 0 AND account_id % 9 <> 0),
 b AS (SELECT account_id, min(ts) AS t0 FROM ub GROUP BY account_id),
@@ -197,6 +201,15 @@ def j2_free(fx):
     return greedy.reconcile_default(up, st).select("account_id", "action", "stored_row", "upstream_row")
 
 
+@query("j2_collision_free_all", _ORACLES["j2_collision_free"].replace("copy_no = 0 AND account_id % 9 <> 0", f"account_id NOT IN ({_COLLIDING})").replace("s.account_id % 9 <> 0", f"s.account_id NOT IN ({_COLLIDING})"))
+def j2_free_all(fx):
+    known = lambda df: df.where("external_id IS NOT NULL")
+    twice = lambda df: known(df).groupBy("account_id", "external_id").count().where("count > 1").select("account_id")
+    colliding = twice(fx.upstream).unionByName(twice(fx.stored)).distinct()
+    free = lambda df: known(df).join(colliding, "account_id", "left_anti")
+    return greedy.reconcile_default(free(fx.upstream), free(fx.stored)).select("account_id", "action", "stored_row", "upstream_row")
+
+
 @query("a3_reconciliation_counters")
 def a3(fx):
     done = greedy.reconcile_default(fx.upstream, fx.stored)
@@ -416,7 +429,16 @@ def j9(fx):
 
 @query("j7_group_similar", "SELECT user_id, description AS name, CAST(sum(count(*)) OVER (PARTITION BY user_id, description) AS BIGINT) AS n, account_id, CAST(count(*) AS BIGINT) AS n_ids, min(id) AS first_id FROM fx_stored WHERE account_id % 50 = 3 GROUP BY user_id, description, account_id")
 def j7(fx):
-    groups = fx.stored.where("account_id % 50 = 3").groupBy("user_id", F.col("description").alias("name")).agg(F.collect_list(F.struct("account_id", "id")).alias("keys")).withColumn("group_no", F.lit(0))
+    return _similar(fx.stored.where("account_id % 50 = 3"))
+
+
+@query("j7_group_similar_all", _ORACLES["j7_group_similar"].replace("WHERE account_id % 50 = 3 ", ""))
+def j7_all(fx):
+    return _similar(fx.stored)
+
+
+def _similar(stored: DataFrame) -> DataFrame:
+    groups = stored.groupBy("user_id", F.col("description").alias("name")).agg(F.collect_list(F.struct("account_id", "id")).alias("keys")).withColumn("group_no", F.lit(0))
     out = reads.group_similar(groups)
     return out.select("user_id", "name", F.col("n").cast("long").alias("n"), "account_id", F.size("ids").cast("long").alias("n_ids"), F.get("ids", F.lit(0)).alias("first_id"))
 
@@ -471,7 +493,16 @@ s AS (SELECT account_id, coalesce(sum(a) FILTER (ts <= TIMESTAMP '{NOW}' AND sta
 l AS (UNPIVOT s ON booked_now, all_now, booked_midnight, all_midnight INTO NAME selection VALUE total)
 SELECT account_id, selection, 'CURRENT' AS balance_type, total = (SELECT sum(a) FROM i WHERE i.account_id = l.account_id AND status = 'BOOKED') AS equal FROM l WHERE account_id IN (SELECT account_id FROM i WHERE status = 'BOOKED')""")
 def a5(fx):
-    ins = fx.stored.where("date >= DATE '2000-06-01' AND account_id % 2 = 0").withColumns({"amount": F.abs("amount"), "action": F.lit("INSERT")})
+    return _start_balances(fx.stored.where("account_id % 2 = 0"))
+
+
+@query("a5_start_balance_check_all", _ORACLES["a5_start_balance_check"].replace(" AND account_id % 2 = 0", ""))
+def a5_all(fx):
+    return _start_balances(fx.stored)
+
+
+def _start_balances(stored: DataFrame) -> DataFrame:
+    ins = stored.where("date >= DATE '2000-06-01'").withColumns({"amount": F.abs("amount"), "action": F.lit("INSERT")})
     booked = ins.where("status = 'BOOKED'").groupBy("user_id", "account_id").agg(F.sum("amount").cast("decimal(18,2)").alias("b"))
     accounts = booked.select("user_id", "account_id", F.lit(True).alias("is_new"), F.array(F.struct(F.lit("CURRENT").alias("type"), F.col("b").alias("amount"))).alias("balances"))
     return reports.start_balance_check(accounts, ins, NOW).select("account_id", "selection", "balance_type", "equal")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,23 +153,31 @@ def pending_age_distribution(txns: DataFrame, accounts: DataFrame, now: str) ->
     return oldest.join(known, KEYS).groupBy("site_id", "type", F.greatest(F.lit(1), F.least(F.lit(90), age)).cast("int").alias("days")).agg(F.count("*").alias("n"))
 
 
-def json_absence(messages: DataFrame, by: list[str], json_col: str = "value", depth: int = 5) -> DataFrame:
+def json_absence(messages: DataFrame, by: list[str], json_col: str = "value") -> DataFrame:
     """Per leaf path (root.a.[].b) the share of explicit nulls among its occurrences, where above zero.
 
-    JSON is read as variants and opened level by level to ``depth``.
+    JSON is read as variants and opened level by level, each checkpointed, until no object or array is left.
     """
     level = messages.select(*by, F.lit("root").alias("path"), F.try_parse_json(json_col).alias("v")).where("v IS NOT NULL")
     leaves = None
-    for _ in range(depth):
+    while leaves is None or not level.isEmpty():
         kind = F.schema_of_variant("v")
         nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
         here = level.where(~nested).select(*by, "path", F.is_variant_null("v").alias("absent"))
         leaves = here if leaves is None else leaves.unionByName(here)
         opened = level.where(nested).lateralJoin(level.sparkSession.tvf.variant_explode(F.col("v").outer()))
-        level = opened.select(*by, F.concat_ws(".", "path", F.coalesce("key", F.lit("[]"))).alias("path"), F.col("value").alias("v"))
+        level = _settled(opened.select(*by, F.concat_ws(".", "path", F.coalesce("key", F.lit("[]"))).alias("path"), F.col("value").alias("v")))
     return leaves.groupBy(*by, "path").agg(F.count_if("absent").alias("nulls"), F.count("*").alias("n")).where("nulls > 0").select(*by, "path", "nulls", (F.col("nulls") / F.col("n")).alias("share"))
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """The rows behind a checkpoint; a folder is chosen only where the session names none (local runs)."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 def sync_compare(a: DataFrame, b: DataFrame) -> DataFrame:
     """Per account of B the pending and booked rows of either side and their differences.
 

@@ -1,5 +1,8 @@
 """Reports and groups cover every row, level and counter."""
 
+import json
+
+from ledgerframe.operators import reports
 from ledgerframe.plans import catalog
 from ledgerframe.plans.fixtures import Fixtures
 
@@ -13,3 +16,12 @@ def test_no_account_is_left_out(spark):
     assert found("j7_group_similar_all") == accounts(stored)
     assert found("a5_start_balance_check_all") == accounts(stored.where("date >= DATE '2000-06-01' AND status = 'BOOKED'"))
     assert any(a % 9 == 0 for a in found("j2_collision_free_all"))
+
+
+def test_json_absence_at_any_depth(spark):
+    deep = None
+    for name in "gfedcba":
+        deep = {name: deep}
+    rows = [("m", json.dumps({"accounts": [{"transactions": [{"amount": None}, {"amount": 1}]}], "x": deep}))]
+    got = {(r.path, r.nulls, r.share) for r in reports.json_absence(spark.createDataFrame(rows, "kind string, value string"), ["kind"]).collect()}
+    assert got == {("root.accounts.[].transactions.[].amount", 1, 0.5), ("root.x.a.b.c.d.e.f.g", 1, 1.0)}

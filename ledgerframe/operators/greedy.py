@@ -126,12 +126,32 @@ def shadow_compare(active: DataFrame, passive: DataFrame, keys: list[str]) -> Da
     return a.join(b, keys, "full").where(~F.col("active_action").eqNullSafe(F.col("passive_action")))
 
 
-def reconciliation_counters(instructions: DataFrame, by: list[str]) -> DataFrame:
-    """Counts of what the default strategy did, one row a counter."""
-    counters = {
-        "deleted": F.count_if((F.col("action") == "DELETE") & F.col("how").isNull()), "moved": F.count_if(F.col("how") == "moved"), "inserted": F.count_if(F.col("action") == "INSERT"),
-        "updated": F.count_if(F.col("action") == "UPDATE"), "unchanged": F.count_if(F.col("action") == "IGNORE"),
-        "by_external_id": F.count_if((F.col("how") == "external_id")), "by_attributes_unique": F.count_if(F.col("how") == "unique"), "by_attributes_optimistic": F.count_if(F.col("how") == "optimistic"),
+def reconciliation_counters(instructions: DataFrame, upstream: DataFrame, stored: DataFrame, by: list[str]) -> DataFrame:
+    """The 14 counters of what the default strategy did with both sides, one row a counter.
+
+    All three frames have the keys and ``by``. A missing external id is null or
+    empty; rows of an id (an empty one too) that occurs more than once in an account count as duplicates.
+    """
+    rows = lambda df, row, p: df.select(*KEYS, row.cast("string").alias(f"{p}_row"), F.col("status").alias(f"{p}_status"))
+    joined = (
+        instructions.join(rows(stored, F.col("id"), "stored"), [*KEYS, "stored_row"], "left")
+        .join(rows(upstream, F.col("pos"), "upstream"), [*KEYS, "upstream_row"], "left")
+    )
+    action, how, was, now = F.col("action"), F.col("how"), F.col("stored_status"), F.col("upstream_status")
+    gone, kept = (action == "DELETE") & how.isNull(), action.isin("UPDATE", "IGNORE")
+    done = {
+        "upstream_new": action == "INSERT", "upstream_update": how == "moved", "upstream_unchanged": action == "IGNORE",
+        "stored_match_extid": how == "external_id", "stored_match_uniq_attrs": how == "unique", "stored_match_attrs": how == "optimistic",
+        "stored_no_match_booked": gone & (was == "BOOKED"), "stored_no_match_pending": gone & ~was.eqNullSafe("BOOKED"),
+        "stored_pending_to_booked": kept & (was == "PENDING") & (now == "BOOKED"), "stored_booked_to_pending": kept & (was == "BOOKED") & (now == "PENDING"),
     }
-    wide = instructions.groupBy(*by).agg(*(c.alias(n) for n, c in counters.items()))
-    return wide.unpivot(by, list(counters), "counter", "value")
+    known = F.col("external_id").isNotNull() & (F.col("external_id") != "")
+    per_id = upstream.groupBy(*dict.fromkeys([*by, *KEYS]), "external_id").agg(F.count("*").alias("n"))
+    ids = {"upstream_total": F.sum("n"), "quality_extid_missing": F.sum(F.when(~known, F.col("n")).otherwise(0)), "quality_extid_dupes": F.sum(F.when(F.col("external_id").isNotNull() & (F.col("n") > 1), F.col("n")).otherwise(0))}
+    tables = (
+        (joined, {name: F.count_if(test) for name, test in done.items()}), (per_id, ids), (stored_in_window(upstream, stored), {"stored_total": F.count("*")}),
+    )
+    long = [df.groupBy(*by).agg(*(c.alias(n) for n, c in counters.items())).unpivot(by, list(counters), "counter", "value") for df, counters in tables]
+    # A provider with nothing stored has its zero, too.
+    every = upstream.select(*by).distinct().crossJoin(upstream.sparkSession.createDataFrame([(n,) for _, counters in tables for n in counters], "counter string"))
+    return every.join(long[0].unionByName(long[1]).unionByName(long[2]), [*by, "counter"], "left").select(*by, "counter", F.coalesce("value", F.lit(0)).alias("value"))

@@ -212,8 +212,9 @@ def j2_free_all(fx):
 
 @query("a3_reconciliation_counters")
 def a3(fx):
+    of = lambda df: df.withColumn("provider", (F.col("account_id") % 5).cast("string"))
     done = greedy.reconcile_default(fx.upstream, fx.stored)
-    return greedy.reconciliation_counters(done.withColumn("provider", (F.col("account_id") % 5).cast("string")), ["provider"])
+    return greedy.reconciliation_counters(of(done), of(fx.upstream), of(fx.stored), ["provider"])
 
 
 @query("u1_reconcile_delta", "SELECT user_id, account_id, 'INSERT' AS action, external_id AS row, CAST(date AS VARCHAR) AS date, 'REGULAR' AS fill_type FROM fx_upstream WHERE status = 'BOOKED'")

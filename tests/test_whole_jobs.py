@@ -1,8 +1,11 @@
 """Reports and groups cover every row, level and counter."""
 
 import json
+from decimal import Decimal as D
 
-from ledgerframe.operators import reports
+from test_matching import day, st, up
+
+from ledgerframe.operators import greedy, reports
 from ledgerframe.plans import catalog
 from ledgerframe.plans.fixtures import Fixtures
 
@@ -25,3 +28,20 @@ def test_json_absence_at_any_depth(spark):
     rows = [("m", json.dumps({"accounts": [{"transactions": [{"amount": None}, {"amount": 1}]}], "x": deep}))]
     got = {(r.path, r.nulls, r.share) for r in reports.json_absence(spark.createDataFrame(rows, "kind string, value string"), ["kind"]).collect()}
     assert got == {("root.accounts.[].transactions.[].amount", 1, 0.5), ("root.x.a.b.c.d.e.f.g", 1, 1.0)}
+
+
+def test_all_fourteen_counters(spark):
+    u = up(
+        spark, ("a", day(5), "BOOKED", "CREDIT", D("1"), "x"), ("b", day(6), "PENDING", "CREDIT", D("2"), "x"), ("d", day(7), "BOOKED", "CREDIT", D("3"), "x"), ("d", day(8), "BOOKED", "CREDIT", D("4"), "x"),
+        (None, day(9), "BOOKED", "CREDIT", D("5"), "x"), ("", day(10), "BOOKED", "CREDIT", D("6"), "x"), ("same", day(11), "BOOKED", "CREDIT", D("7"), "x"),
+    )
+    s = st(
+        spark, ("1", "a", day(5), "PENDING", D("1"), "x"), ("2", "b", day(6), "BOOKED", D("2"), "x"), ("3", "gone", day(12), "BOOKED", D("8"), "x"), ("4", "lost", day(13), "PENDING", D("9"), "x"),
+        ("5", None, day(9), "BOOKED", D("5"), "x"), ("6", "same", day(11), "BOOKED", D("7"), "x"),
+    )
+    done = greedy.reconcile_default(u, s)
+    got = {r.counter: r.value for r in greedy.reconciliation_counters(done, u, s, ["user_id"]).collect()}
+    assert got == {
+        "upstream_total": 7, "upstream_new": 3, "upstream_update": 2, "upstream_unchanged": 2, "stored_total": 6, "stored_match_extid": 3, "stored_match_uniq_attrs": 1, "stored_match_attrs": 0,
+        "stored_no_match_booked": 1, "stored_no_match_pending": 1, "stored_pending_to_booked": 1, "stored_booked_to_pending": 1, "quality_extid_missing": 2, "quality_extid_dupes": 2,
+    }

@@ -13,9 +13,9 @@ Text inside an article is never judged by repetition: whole articles are
 reprinted across pages, and the article is to be kept whole.
 
 The suffix arrays are built per host and anchor (see ``anchors``), after equal
-contexts have been collapsed to one row each; anchors with very many different
-contexts are dealt out again by single windows, so no host or anchor makes a
-large group.
+contexts have been collapsed to one row each. A host has as many parts as its
+words need; anchors with very many different contexts are counted window by
+window instead, without groups, so no host or anchor makes a large group.
 
 Edge cases: null html has no text; null urls share the host ""; unclosed and
 truncated elements end with the page; pages that are equal in all columns count
@@ -39,9 +39,10 @@ from .anchors import anchored_runs
 
 #: Words of a string that counts as repeated, and of the pieces that anchor it.
 LENGTH, GRAM = 8, 2
-#: An anchor with more different contexts than this is dealt out by windows.
+#: An anchor with more different contexts than this is counted by windows.
 HOT_CONTEXTS = 2_000
-PARTS = 64
+#: Parts of a host, and the mean words a part from which a host gets more of them.
+PARTS, PART_WORDS = 64, 200_000
 
 # Element names by role.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead title tr ul".split())
@@ -228,6 +229,13 @@ def _suffix_arrays(group: pd.DataFrame) -> pd.DataFrame:
     return out[[bool(f) for f in found]]
 
 
+def in_parts(contexts: DataFrame) -> DataFrame:
+    """Contexts with the part of their host; only hosts beyond ``PARTS`` parts of ``PART_WORDS`` words, a few by their size, are listed."""
+    words = contexts.groupBy("host").agg(F.sum(F.size("context")).alias("words")).where(F.col("words") > PARTS * PART_WORDS)
+    large = words.select("host", F.ceil(F.col("words") / PART_WORDS).alias("parts"))
+    return contexts.join(F.broadcast(large), "host", "left").withColumn("part", F.pmod(F.xxhash64("deal"), F.coalesce("parts", F.lit(PARTS)))).drop("parts")
+
+
 def covered_words(pages: DataFrame) -> DataFrame:
     """Rows of (key, covered): positions of the page's words, outside articles, under repeated strings."""
     distinct = (
@@ -240,14 +248,13 @@ def covered_words(pages: DataFrame) -> DataFrame:
     cool = dealt.where(F.col("is_hot").isNull()).select("host", F.col("anchor").alias("deal"), "hash", F.lit(0).alias("nth"), "context", "first", "last")
     single = dealt.where("is_hot").select("host", "hash", "first", "last", F.posexplode(windows).alias("nth", "context"))
     lowest = single.groupBy("host", F.xxhash64("context").alias("deal")).agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    # Every row of a window knows all of the window's pages already.
     warm = (
-        single.select("host", F.xxhash64("context").alias("deal"), "hash", "nth", "context").join(lowest, ["host", "deal"])
-        .select("host", "deal", "hash", "nth", "context", "first", "last")
-    )
-    repeated = (
-        cool.unionByName(warm).withColumn("part", F.pmod(F.xxhash64("deal"), F.lit(PARTS)))
-        .groupBy("host", "part").applyInPandas(_suffix_arrays, "host string, hash long, nth int, repeated array<int>")
+        single.select("host", F.xxhash64("context").alias("deal"), "hash", "nth").join(lowest.where("first < last"), ["host", "deal"])
+        .select("host", "hash", "nth", F.array(F.lit(0)).alias("repeated"))
     )
+    cooled = in_parts(cool).groupBy("host", "part").applyInPandas(_suffix_arrays, "host string, hash long, nth int, repeated array<int>")
+    repeated = cooled.unionByName(warm)
     by_context = repeated.groupBy("host", "hash").agg(F.array_distinct(F.flatten(F.collect_list(F.transform("repeated", lambda w: w + F.col("nth"))))).alias("repeated"))
     spots = F.flatten(F.transform("repeated", lambda w: F.sequence(F.col("start") + w, F.col("start") + w + LENGTH - 1)))
     return (

@@ -1,117 +1,196 @@
 """The default strategy: stored rows take upstream rows one at a time.
 
-What a stored row takes depends on what the ones before it took, so accounts
-that need the order go through a cogrouped pandas function. Accounts where every
-row has an external id that occurs once on either side need no order: there the
-match is an equi-join, and only the rest is cogrouped.
+What a stored row takes depends on what the ones before it took, but only rows
+that share an external id, or a day and an amount, can want the same upstream
+row. So an account falls into components: its (day, amount) classes, joined
+where rows of one external id lie in several of them. Components never touch,
+and almost all have at most one row a side, which built-in functions settle. The
+rest is sorted by component and streamed through a matcher that holds one
+component at a time and looks rows up by id and by (day, amount), so its time is
+in proportion to the rows, and no account makes a group.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import cents, signed
+from .graph import components
 from .matching import KEYS, stored_in_window
 
-FIELDS = ["row", "external_id", "date", "status", "amount", "cents", "description", "ord"]
+FIELDS = ["row", "external_id", "date", "status", "cents", "raw", "description"]
 OUT = "user_id long, account_id long, action string, stored_row string, upstream_row string, date date, how string"
 COMPARED = ["external_id", "date", "status", "cents", "description"]
 
 
 def _prepared(df: DataFrame, side: str) -> DataFrame:
+    """One shape for both sides; ``raw`` is the amount as given, ``first`` and ``second`` are the order within an account."""
     if side == "upstream":
-        amount, row, order = signed("amount", "type"), F.col("pos").cast("string"), F.col("pos").cast("long")
+        amount, row = signed("amount", "type"), F.col("pos").cast("string")
+        order = F.col("pos").cast("long"), F.lit("")
     else:
         amount, row = F.col("amount"), F.col("id").cast("string")
-        order = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.col("date").desc(), "id")).cast("long")
-    return df.select(*KEYS, row.alias("row"), "external_id", "date", "status", F.col("amount").cast("double").alias("amount"), cents(amount).alias("cents"), "description", order.alias("ord"))
+        order = -F.unix_date("date").cast("long"), row
+    return df.select(
+        *KEYS, F.lit(side).alias("side"), row.alias("row"), "external_id", "date", "status", cents(amount).alias("cents"), cents("amount").alias("raw"), "description",
+        order[0].alias("first"), order[1].alias("second"),
+    )
 
 
 def _same(a, b) -> bool:
     return (pd.isna(a) and pd.isna(b)) or (not pd.isna(a) and not pd.isna(b) and a == b)
 
 
-def match_account(stored: list[dict], upstream: list[dict], signed_tiebreak: bool = True) -> list[tuple]:
-    """(action, stored row, upstream row, date, how) of one account, both sides in order.
+class _Free:
+    """The upstream rows nobody has taken, by external id and by day and amount, each in list order."""
+
+    def __init__(self, rows: list[dict]):
+        self.rows = dict(enumerate(rows))
+        self.by: dict[tuple, dict[int, None]] = {}
+        for k, row in self.rows.items():
+            for key in self._keys(row):
+                self.by.setdefault(key, {})[k] = None
+
+    @staticmethod
+    def _keys(row: dict) -> Iterator[tuple]:
+        if row["external_id"] is not None:
+            yield "id", row["external_id"]
+            yield "id day", row["external_id"], row["date"]
+            for kind in ("raw", "cents"):
+                yield "id day", row["external_id"], row["date"], kind, row[kind]
+        like = "like", row["status"] == "PENDING", row["cents"], row["date"]
+        yield like
+        yield *like, row["description"]
+
+    def of(self, *key) -> dict[int, None]:
+        return self.by.get(key, {})
+
+    def first(self, *keys: tuple) -> int | None:
+        return min((next(iter(found)) for key in keys if (found := self.of(*key))), default=None)
+
+    def size(self, *keys: tuple) -> int:
+        return sum(len(self.of(*key)) for key in keys)
+
+    def take(self, k: int) -> dict:
+        row = self.rows.pop(k)
+        for key in self._keys(row):
+            del self.by[key][k]
+        return row
+
+
+def match_rows(stored: list[dict], upstream: list[dict], signed_tiebreak: bool = True) -> list[tuple]:
+    """(action, stored row, upstream row, date, how) of rows that may interact, both sides in order.
 
     With ``signed_tiebreak`` the amount test among several equal external ids
     compares the amounts as given, so an unsigned debit never passes it.
     """
-    free: dict[int, dict] = dict(enumerate(upstream))
-    out: list[tuple] = []
-    if not upstream:
-        return out
+    free, out = _Free(upstream), []
+    amount = "raw" if signed_tiebreak else "cents"
     for s in stored:
         taken, how = None, None
-        by_id = [k for k, u in free.items() if not pd.isna(s["external_id"]) and u["external_id"] == s["external_id"]]
-        if by_id:
-            how = "external_id"
-            if len(by_id) == 1:
-                taken = by_id[0]
-            else:
-                day = [k for k in by_id if free[k]["date"] == s["date"]]
-                amount = [k for k in day if (free[k]["amount"] == s["amount"] if signed_tiebreak else free[k]["cents"] == s["cents"])]
-                taken = next(iter(amount or day), None)
+        if s["external_id"] is not None and (n := free.size(("id", s["external_id"]))):
+            how, day = "external_id", ("id day", s["external_id"], s["date"])
+            taken = free.first(("id", s["external_id"])) if n == 1 else free.first((*day, amount, s["cents"]))
+            if taken is None:
+                taken = free.first(day)
         else:
-            like = [k for k, u in free.items() if u["cents"] == s["cents"] and u["date"] == s["date"] and not (s["status"] == "BOOKED" and u["status"] == "PENDING")]
-            if len(like) > 1:
-                like = [k for k in like if _same(free[k]["description"], s["description"])]
-            if like:
-                taken, how = like[0], "unique" if len(like) == 1 else "optimistic"
+            like = [("like", pending, s["cents"], s["date"]) for pending in ([False] if s["status"] == "BOOKED" else [False, True])]
+            n = free.size(*like)
+            if n > 1:
+                like = [(*key, s["description"]) for key in like]
+                n = free.size(*like)
+            if n:
+                taken, how = free.first(*like), "unique" if n == 1 else "optimistic"
         if taken is None:
             out.append(("DELETE", s["row"], None, s["date"], None))
             continue
-        u = free.pop(taken)
+        u = free.take(taken)
         if u["date"] != s["date"] or u["status"] != s["status"]:
             out.append(("DELETE", s["row"], u["row"], s["date"], "moved"))
         out.append(("IGNORE" if all(_same(u[f], s[f]) for f in COMPARED) else "UPDATE", s["row"], u["row"], u["date"], how))
-    out += [("INSERT", None, u["row"], u["date"], None) for u in free.values()]
-    return out
+    return out + [("INSERT", None, u["row"], u["date"], None) for u in free.rows.values()]
 
 
-def reconcile_default(upstream: DataFrame, stored: DataFrame, signed_tiebreak: bool = True) -> DataFrame:
-    """Instructions (keys, action, stored_row, upstream_row, date, how) for every account with upstream rows."""
-    st = _prepared(stored_in_window(upstream, stored), "stored")
-    up = _prepared(upstream, "upstream")
-    per_id = Window.partitionBy(*KEYS, "side", "external_id")
-    both = up.select(*KEYS, "external_id", F.lit("u").alias("side")).unionByName(st.select(*KEYS, "external_id", F.lit("s").alias("side")))
-    plain = (
-        both.withColumn("n", F.count("*").over(per_id)).groupBy(*KEYS)
-        .agg((F.max("n") == 1).alias("once"), F.bool_and(F.col("external_id").isNotNull()).alias("known")).where("once AND known").select(*KEYS)
+def interacting(upstream: DataFrame, stored: DataFrame) -> DataFrame:
+    """Both prepared sides in one frame, with the component (``part``) in which a row can meet others.
+
+    A hash names a class of day and amount; classes that clash only make a component larger.
+    """
+    both = upstream.unionByName(stored).withColumn("spot", F.xxhash64(*KEYS, "cents", "date"))
+    links = (
+        both.where("external_id IS NOT NULL").groupBy(*KEYS, "external_id").agg(F.min("spot").alias("b"), F.collect_set("spot").alias("spots"))
+        .where(F.size("spots") > 1).select(F.explode("spots").alias("a"), "b").where("a <> b").distinct()
     )
-    prefixed = lambda df, p: df.select(*KEYS, *(F.col(c).alias(f"{p}_{c}") for c in FIELDS))
-    ids = prefixed(up, "u").join(plain, KEYS, "left_semi").withColumn("id", F.col("u_external_id")).join(
-        prefixed(st, "s").join(plain, KEYS, "left_semi").withColumn("id", F.col("s_external_id")), [*KEYS, "id"], "full"
+    roots = components(links).select(F.col("node").alias("spot"), "root")
+    return both.join(roots, "spot", "left").withColumn("part", F.coalesce("root", "spot")).drop("root", "spot")
+
+
+def _act(action, stored_row, upstream_row, date, how):
+    text = lambda x: (F.lit(x) if x is None or isinstance(x, str) else x).cast("string")
+    return F.struct(
+        text(action).alias("action"), text(stored_row).alias("stored_row"), text(upstream_row).alias("upstream_row"), date.alias("date"), text(how).alias("how")
     )
-    # A stored row whose id is not upstream may still match by amount and date: such accounts need the order too.
-    whole = Window.partitionBy(*KEYS)
-    ids = ids.withColumn("_loose", F.bool_or(F.col("u_row").isNull()).over(whole) & F.bool_or(F.col("s_row").isNull()).over(whole))
-    fast = ids.where(~F.col("_loose"))
+
+
+def _settle_pairs(pairs: DataFrame) -> DataFrame:
+    """Instructions of components with one row a side, columns ``s`` and ``u``."""
+    s, u = F.col("s"), F.col("u")
+    by_id = F.coalesce(s["external_id"] == u["external_id"], F.lit(False))
+    alike = (s["cents"] == u["cents"]) & (s["date"] == u["date"]) & ~((s["status"] == "BOOKED") & (u["status"] == "PENDING"))
     same = F.lit(True)
     for f in COMPARED:
-        same = same & F.col(f"u_{f}").eqNullSafe(F.col(f"s_{f}"))
-    moved = (F.col("u_date") != F.col("s_date")) | (F.col("u_status") != F.col("s_status"))
-    act = lambda a, s, u, d, h: F.struct(F.lit(a).alias("action") if isinstance(a, str) else a.alias("action"), s.cast("string").alias("stored_row"), u.cast("string").alias("upstream_row"), d.alias("date"), F.lit(h).cast("string").alias("how"))
-    none = F.lit(None)
-    steps = (
-        F.when(F.col("u_row").isNull(), F.array(act("DELETE", F.col("s_row"), none, F.col("s_date"), None)))
-        .when(F.col("s_row").isNull(), F.array(act("INSERT", none, F.col("u_row"), F.col("u_date"), None)))
-        .otherwise(F.filter(F.array(
-            F.when(moved, act("DELETE", F.col("s_row"), F.col("u_row"), F.col("s_date"), "moved")),
-            act(F.when(same, "IGNORE").otherwise("UPDATE"), F.col("s_row"), F.col("u_row"), F.col("u_date"), "external_id"),
-        ), lambda x: x.isNotNull()))
-    )
-    quick = fast.select(*KEYS, F.explode(steps).alias("x")).select(*KEYS, "x.*")
-    simple = fast.select(*KEYS).distinct()
+        same = same & s[f].eqNullSafe(u[f])
+    moved = (s["date"] != u["date"]) | (s["status"] != u["status"])
+    matched = F.array_compact(F.array(
+        F.when(moved, _act("DELETE", s["row"], u["row"], s["date"], "moved")),
+        _act(F.when(same, "IGNORE").otherwise("UPDATE"), s["row"], u["row"], u["date"], F.when(by_id, "external_id").otherwise("unique")),
+    ))
+    apart = F.array(_act("DELETE", s["row"], None, s["date"], None), _act("INSERT", None, u["row"], u["date"], None))
+    return pairs.select(*KEYS, F.explode(F.when(by_id | F.coalesce(alike, F.lit(False)), matched).otherwise(apart)).alias("x")).select(*KEYS, "x.*")
 
-    def ordered(key: tuple, u: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        found = match_account(s.sort_values("ord").to_dict("records"), u.sort_values("ord").to_dict("records"), signed_tiebreak)
-        return pd.DataFrame([(key[0], key[1], *x) for x in found], columns=[x.split()[0] for x in OUT.split(", ")])
 
-    slow = up.join(simple, KEYS, "left_anti").groupBy(*KEYS).cogroup(st.join(simple, KEYS, "left_anti").groupBy(*KEYS)).applyInPandas(ordered, OUT)
-    return quick.unionByName(slow)
+def reconcile_default(upstream: DataFrame, stored: DataFrame, signed_tiebreak: bool = True) -> DataFrame:
+    """Instructions (keys, action, stored_row, upstream_row, date, how) for every account with upstream rows."""
+    rows = interacting(_prepared(upstream, "upstream"), _prepared(stored_in_window(upstream, stored), "stored"))
+    part = Window.partitionBy(*KEYS, "part")
+    is_up = F.col("side") == "upstream"
+    counted = rows.withColumns({"n_up": F.count_if(is_up).over(part), "n_st": F.count_if(~is_up).over(part)})
+    lone = (F.col("n_up") == 0) | (F.col("n_st") == 0)
+    single = (F.col("n_up") == 1) & (F.col("n_st") == 1)
+    alone = counted.where(lone).select(
+        *KEYS, F.when(is_up, _act("INSERT", None, F.col("row"), F.col("date"), None)).otherwise(_act("DELETE", F.col("row"), None, F.col("date"), None)).alias("x")
+    ).select(*KEYS, "x.*")
+    whole = F.struct(*FIELDS)
+    pairs = counted.where(single).groupBy(*KEYS, "part").agg(F.max(F.when(is_up, whole)).alias("u"), F.max(F.when(~is_up, whole)).alias("s"))
+
+    def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, sides, done = None, {"stored": [], "upstream": []}, []
+
+        def settle() -> None:
+            if key is not None:
+                done.extend((key[0], key[1], *x) for x in match_rows(sides["stored"], sides["upstream"], signed_tiebreak))
+
+        names = [x.split()[0] for x in OUT.split(", ")]
+        for frame in frames:
+            frame["external_id"] = frame["external_id"].astype(object).where(frame["external_id"].notna(), None)
+            for row in frame.to_dict("records"):
+                own = row["user_id"], row["account_id"], row["part"]
+                if own != key:
+                    settle()
+                    key, sides = own, {"stored": [], "upstream": []}
+                sides[row["side"]].append(row)
+            yield pd.DataFrame(done, columns=names)
+            done.clear()
+        settle()
+        yield pd.DataFrame(done, columns=names)
+
+    several = counted.where(~lone & ~single).select(*KEYS, "part", "side", "first", "second", *FIELDS)
+    ordered = several.repartition(*KEYS, "part").sortWithinPartitions(*KEYS, "part", "side", "first", "second")
+    return alone.unionByName(_settle_pairs(pairs)).unionByName(ordered.mapInPandas(match, OUT))
 
 
 def reconcile_delta(upstream: DataFrame) -> DataFrame:

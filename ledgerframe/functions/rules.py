@@ -14,7 +14,7 @@ FILL_TYPES = ("REGULAR", "BACKFILLED")
 UNMATCHED_WEIGHTS = {"UNPROCESSED": 0, "REJECTED": 1, "DUPLICATE": 2, "PEERLESS": 3}
 PLACEHOLDER = "Not Provided"
 
-_IBAN = r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{1,30}$"
+_NUMBERS = r"\d+(?:[.,]\d+)*\s*"
 _SORT_CODE = r"^[0-9]{2}-[0-9]{2}-[0-9]{2} [0-9]{7,8}$"
 
 
@@ -47,7 +47,9 @@ def normal_identification(x: Column | str) -> Column:
 
 
 def is_normal_identification(scheme: Column | str, x: Column | str) -> Column:
-    return F.when(col(scheme) == "IBAN", col(x).rlike(_IBAN)).when(col(scheme) == "SORTCODEACCOUNTNUMBER", col(x).rlike(_SORT_CODE)).otherwise(F.lit(False))
+    """An IBAN without spaces whose letters, all but its numbers, are upper case; or a sort code and account number in their written form."""
+    iban = ~F.contains(col(x), F.lit(" ")) & F.regexp_replace(col(x), _NUMBERS, "").rlike(r"^\p{Lu}+$")
+    return F.when(col(scheme) == "IBAN", iban).when(col(scheme) == "SORTCODEACCOUNTNUMBER", col(x).rlike(_SORT_CODE)).otherwise(F.lit(False))
 
 
 def maybe_card_number(x: Column | str) -> Column:

@@ -8,9 +8,10 @@ apart, so a stage costs one shuffle and no join. Values are compared null-safe.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import UNMATCHED_WEIGHTS, Selector, cents, first_present, not_blank, not_null, signed
@@ -20,6 +21,8 @@ ATTRIBUTES = [
     "external_id", "cents", "date", "status", "booking_date", "ts", "debtor_name", "debtor_account", "creditor_name", "creditor_account", "description", "end_to_end_id",
 ]
 BACKFILL_DAYS = 7
+# The provider with gap-free numeric ids, and the one that sends only what is new.
+NUMERIC_ID_PROVIDER, DELTA_PROVIDER = "RABOBANK", "BUDGET_INSIGHT"
 
 
 @dataclass(frozen=True)
@@ -67,7 +70,7 @@ def generalize(df: DataFrame, side: str) -> DataFrame:
 
     return df.select(
         *KEYS, F.lit(side).alias("side"), row.alias("row"), "external_id", cents(amount).alias("cents"), "date", "status", "booking_date", F.date_trunc("millisecond", "ts").cast("timestamp_ntz").alias("ts"),
-        _optional(df, "debtor_name").alias("debtor_name"), account("debtor"), _optional(df, "creditor_name").alias("creditor_name"), account("creditor"), "description", _optional(df, "end_to_end_id").alias("end_to_end_id"),
+        _optional(df, "debtor_name").alias("debtor_name"), account("debtor"), _optional(df, "creditor_name").alias("creditor_name"), account("creditor"), "description", _optional(df, "end_to_end_id").alias("end_to_end_id"), _optional(df, "provider").alias("provider"),
     )
 
 
@@ -85,18 +88,23 @@ def _weight(reason):
     return found
 
 
-def match_on_equality(rows: DataFrame, stage: Stage) -> DataFrame:
+def match_on_equality(rows: DataFrame, stage: Stage, applies: Column | None = None) -> DataFrame:
     """One stage over what is not yet matched; every row comes back, matched rows with their partner.
 
     A key must be usable and occur once on either side to match. A new reason
     replaces an old one of no greater weight, together with the matcher's name.
+    Rows to which the stage does not apply stay as they are.
     """
+    applies = F.lit(True) if applies is None else F.coalesce(applies, F.lit(False))
     usable = F.lit(True)
     for s in stage.selectors:
         usable = usable & s.usable()
     values = [f"_v{i}" for i in range(len(stage.selectors))]
     key = Window.partitionBy(*KEYS, "_in", *values)
-    out = rows.withColumns({v: s.value() for v, s in zip(values, stage.selectors, strict=True)} | {"_open": F.col("partner").isNull(), "_in": F.col("partner").isNull() & F.coalesce(usable, F.lit(False))})
+    is_open = F.col("partner").isNull() & applies
+    out = rows.withColumns(
+        {v: s.value() for v, s in zip(values, stage.selectors, strict=True)} | {"_open": is_open, "_in": is_open & F.coalesce(usable, F.lit(False))}
+    )
     up, mine = F.col("side") == "upstream", F.col("side")
     count = lambda test: F.sum(F.when(F.col("_in") & test, 1).otherwise(0)).over(key)
     out = out.withColumns({
@@ -115,30 +123,58 @@ def match_on_equality(rows: DataFrame, stage: Stage) -> DataFrame:
     }).select(*rows.columns)
 
 
-def stored_in_window(upstream: DataFrame, stored: DataFrame, numeric_ids: bool = False) -> DataFrame:
+def pruned(stored: DataFrame, upstream: DataFrame) -> DataFrame:
+    """Stored rows that any account's window can hold: one literal bound, which reaches the scan.
+
+    It costs one aggregate over what came in and saves reading older files and months.
+    """
+    first = upstream.agg(F.date_sub(F.to_date(F.min("ts")), 1)).first()[0]
+    if first is None:
+        return stored
+    if "month" in stored.columns:
+        stored = stored.where(F.col("month") >= first.strftime("%Y-%m"))
+    return stored.where(F.col("date") >= F.lit(first))
+
+
+def _number(external_id: str = "external_id") -> Column:
+    return F.expr(f"try_cast(trim({external_id}) AS BIGINT)")
+
+
+def stored_in_window(upstream: DataFrame, stored: DataFrame, numeric_ids: bool | Column = False) -> DataFrame:
     """Stored rows in the time window of each account's upstream rows.
 
-    ``numeric_ids`` adds the rule for providers with gap-free numeric ids: stored
-    ids below the smallest upstream id go, and stored rows whose id occurs
-    upstream stay whatever their time.
+    ``numeric_ids`` (for all, or a test of upstream rows) adds the rule for
+    providers with gap-free numeric ids: stored ids below the smallest upstream id
+    go, and stored rows whose id occurs upstream stay whatever their time.
     """
-    number = F.expr("try_cast(external_id AS BIGINT)")
+    always = isinstance(numeric_ids, bool)
+    numeric = F.lit(numeric_ids) if always else F.coalesce(numeric_ids, F.lit(False))
+    number = _number()
     bounds = upstream.groupBy(*KEYS).agg(
         F.min("ts").alias("_t0"), F.min(number).alias("_low"), F.max(number).alias("_high"), F.count_distinct(number).alias("_kinds"), F.count_if(number.isNull()).alias("_bad"),
+        F.bool_or(numeric).alias("_numeric"),
     )
     day = F.to_date("_t0")
-    joined = stored.join(bounds, KEYS).where(F.col("date") >= F.date_sub(day, 1))
+    joined = pruned(stored, upstream).join(bounds, KEYS).where(F.col("date") >= F.date_sub(day, 1))
     second = lambda c: F.date_trunc("second", c)
     in_time = F.when(F.col("ts").isNull(), F.col("date") >= day).otherwise(second("ts") >= second("_t0"))
-    if not numeric_ids:
+    if always and not numeric_ids:
         return joined.where(in_time).select(*stored.columns)
-    dense = (F.col("_bad") == 0) & (F.col("_kinds") == F.col("_high") - F.col("_low") + 1)
-    seen = upstream.select(*KEYS, F.col("external_id").alias("_id")).where("_id IS NOT NULL").distinct().withColumn("_seen", F.lit(True))
-    marked = joined.join(seen.withColumnRenamed("_id", "external_id"), [*KEYS, "external_id"], "left")
+    dense = F.col("_numeric") & (F.col("_bad") == 0) & (F.col("_kinds") == F.col("_high") - F.col("_low") + 1)
+    seen = upstream.where(numeric & F.col("external_id").isNotNull()).select(*KEYS, "external_id").distinct().withColumn("_seen", F.lit(True))
+    marked = joined.join(seen, [*KEYS, "external_id"], "left")
     stays = ~dense | number.isNull() | (number >= F.col("_low"))
     return marked.where(F.coalesce(stays, F.lit(True)) & (F.col("_seen") | in_time)).select(*stored.columns)
 
 
+def accounts_with_odd_ids(upstream: DataFrame, stored: DataFrame, numeric: Column) -> DataFrame:
+    """Accounts under the numeric rule (a test of upstream rows) that hold an id that is no number, on either side of the window."""
+    own = upstream.where(numeric)
+    bounds = own.groupBy(*KEYS).agg(F.date_sub(F.to_date(F.min("ts")), 1).alias("_from"))
+    near = pruned(stored, own).join(bounds, KEYS).where(F.col("date") >= F.col("_from"))
+    return own.select(*KEYS, "external_id").unionByName(near.select(*KEYS, "external_id")).where(_number().isNull()).select(*KEYS).distinct()
+
+
 def sync_bounds(upstream: DataFrame, stored: DataFrame) -> DataFrame:
     """Per account the relation of the booking-date intervals and the lower bound it gives (null: none).
 
@@ -170,20 +206,27 @@ def truncate_to(df: DataFrame, bounds: DataFrame) -> DataFrame:
     return df.join(bounds.select(*KEYS, "lower"), KEYS, "left").where(F.col("lower").isNull() | (F.col("booking_date") >= F.col("lower"))).drop("lower")
 
 
-def match_attributes(upstream: DataFrame, stored: DataFrame, stages, window: str = "unbounded", numeric_ids: bool = False) -> DataFrame:
+def match_attributes(
+    upstream: DataFrame, stored: DataFrame, stages: Sequence[Stage | tuple[Stage, Column]], window: str | Column = "unbounded", numeric_ids: bool | Column = False
+) -> DataFrame:
     """All rows of the attribute strategy with what became of them and their account's outcome.
 
     Columns: keys, side, row, date, status, reason, matcher, partner, outcome,
     fill_type. Booked upstream rows take part; accounts without any are left out.
+    A stage may come with a test of the account's ``provider`` (a column of
+    upstream), a window and the numeric rule with a test of upstream rows, so that
+    all providers go through one plan. An account under the numeric rule with an
+    id that is no number fails.
     """
     booked = upstream.where("status = 'BOOKED'")
     in_window = stored_in_window(booked, stored, numeric_ids)
-    if window == "booking_date":
-        bounds = sync_bounds(booked, in_window.where("status = 'BOOKED'"))
+    if not isinstance(window, str) or window == "booking_date":
+        bounded = booked if isinstance(window, str) else booked.where(window)
+        bounds = sync_bounds(bounded, in_window.where("status = 'BOOKED'"))
         booked, in_window = truncate_to(booked, bounds), truncate_to(in_window, bounds)
     up, st = generalize(booked, "upstream"), generalize(in_window, "stored")
     account = Window.partitionBy(*KEYS)
-    rows = unmatched(up, st)
+    rows = unmatched(up, st).withColumn("provider", F.max("provider").over(account))
     is_up, pending = F.col("side") == "upstream", (F.col("side") == "stored") & (F.col("status") == "PENDING")
     rows = rows.withColumns({
         "_fresh": ~F.bool_or(F.col("side") == "stored").over(account), "_oldest": F.min(F.when(is_up, F.col("date"))).over(account),
@@ -192,7 +235,7 @@ def match_attributes(upstream: DataFrame, stored: DataFrame, stages, window: str
     # Pending rows and accounts with nothing stored stand apart from the stages.
     taking_part = rows.where(~F.col("_pending") & ~F.col("_fresh"))
     for stage in stages:
-        taking_part = match_on_equality(taking_part, stage)
+        taking_part = match_on_equality(taking_part, *(stage if isinstance(stage, tuple) else (stage,)))
     rows = taking_part.unionByName(rows.where(F.col("_pending") | F.col("_fresh")))
     left = F.col("partner").isNull() & ~F.col("_pending") & ~F.col("_fresh")
     bad = lambda side, reasons: F.bool_or(left & (F.col("side") == side) & F.col("reason").isin(*reasons)).over(account)
@@ -203,6 +246,10 @@ def match_attributes(upstream: DataFrame, stored: DataFrame, stages, window: str
         .when(bad("upstream", ["UNPROCESSED"]), "FATAL_UPSTREAM_UNPROCESSED").when(bad("upstream", ["REJECTED"]), "FATAL_UPSTREAM_REJECTED")
         .when(bad("upstream", ["DUPLICATE"]), "FATAL_UPSTREAM_DUPLICATE").otherwise("OK")
     )
+    if not isinstance(numeric_ids, bool):
+        odd = accounts_with_odd_ids(upstream.where("status = 'BOOKED'"), stored, numeric_ids).withColumn("_odd", F.lit(True))
+        rows = rows.join(odd, KEYS, "left")
+        outcome = F.when(F.col("_odd"), "FATAL_EXTERNAL_ID").otherwise(outcome)
     regular = F.col("_fresh") | (F.col("date") > F.date_sub("_newest", BACKFILL_DAYS))
     inserted = is_up & (F.col("_fresh") | (left & (F.col("reason") == "PEERLESS")))
     return rows.withColumn("outcome", outcome).withColumn("fill_type", F.when(inserted, F.when(regular, "REGULAR").otherwise("BACKFILLED"))).select(
@@ -210,9 +257,14 @@ def match_attributes(upstream: DataFrame, stored: DataFrame, stages, window: str
     )
 
 
-def reconcile_attributes(upstream: DataFrame, stored: DataFrame, stages, window: str = "unbounded", numeric_ids: bool = False) -> DataFrame:
+def reconcile_attributes(upstream: DataFrame, stored: DataFrame, stages, window: str | Column = "unbounded", numeric_ids: bool | Column = False) -> DataFrame:
     """Instructions (keys, action, row, date, fill_type) of the accounts whose outcome is OK: inserts and pending deletes."""
-    rows = match_attributes(upstream, stored, stages, window, numeric_ids).where("outcome = 'OK'")
+    return attribute_instructions(match_attributes(upstream, stored, stages, window, numeric_ids))
+
+
+def attribute_instructions(rows: DataFrame) -> DataFrame:
+    """What ``match_attributes`` asks to do to the accounts whose outcome is OK."""
+    rows = rows.where("outcome = 'OK'")
     action = F.when(F.col("fill_type").isNotNull(), "INSERT").when((F.col("side") == "stored") & (F.col("status") == "PENDING"), "DELETE")
     return rows.select(*KEYS, action.alias("action"), "row", "date", "fill_type").where("action IS NOT NULL")
 

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 KEYS = ["user_id", "account_id"]
 # The order of account groups.
 GROUP_ORDER = ("CURRENT_ACCOUNT", "CREDIT_CARD", "SAVINGS_ACCOUNT", "PREPAID_ACCOUNT", "PENSION", "INVESTMENT", "FOREIGN_CURRENCY", "UNKNOWN")
-MAIN_BALANCES = ("EXPECTED", "INTERIM_AVAILABLE", "CLOSING_BOOKED")
 
 
 def retrieval_lower_bound(accounts: DataFrame, txns: DataFrame, now: str, special_site=None, horizon_days: int = 90) -> DataFrame:
@@ -166,18 +165,10 @@ def json_absence(messages: DataFrame, by: list[str], json_col: str = "value") ->
         here = level.where(~nested).select(*by, "path", F.is_variant_null("v").alias("absent"))
         leaves = here if leaves is None else leaves.unionByName(here)
         opened = level.where(nested).lateralJoin(level.sparkSession.tvf.variant_explode(F.col("v").outer()))
-        level = _settled(opened.select(*by, F.concat_ws(".", "path", F.coalesce("key", F.lit("[]"))).alias("path"), F.col("value").alias("v")))
+        level = cut(opened.select(*by, F.concat_ws(".", "path", F.coalesce("key", F.lit("[]"))).alias("path"), F.col("value").alias("v")))
     return leaves.groupBy(*by, "path").agg(F.count_if("absent").alias("nulls"), F.count("*").alias("n")).where("nulls > 0").select(*by, "path", "nulls", (F.col("nulls") / F.col("n")).alias("share"))
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """The rows behind a checkpoint; a folder is chosen only where the session names none (local runs)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def sync_compare(a: DataFrame, b: DataFrame) -> DataFrame:
     """Per account of B the pending and booked rows of either side and their differences.
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import accounts as acc
-from ..operators import greedy, matching, merges, projections, reads, reports
+from ..operators import greedy, matching, merges, projections, reads, reports, router
 from ..sources import messages, sinks
 from ..streaming import activities
 from .fixtures import NOW, TODAY, Fixtures, with_views
@@ -175,19 +176,42 @@ def u3(fx):
     return matching.match_report(matching.match_on_equality(_sides(fx), STAGE))
 
 
-@query("j2_reconcile_default")
+#: The default strategy where no two orders of an account share day and amount: a stored row takes the first copy of its order.
+_DEFAULT = f"""
+{_WINDOW},
+up1 AS (SELECT *, count(*) OVER (PARTITION BY account_id, order_no) AS copies FROM fx_upstream),
+dm AS (SELECT coalesce(u.user_id, s.user_id) AS user_id, coalesce(u.account_id, s.account_id) AS account_id, s.id AS stored_row, CAST(u.pos AS VARCHAR) AS upstream_row,
+  s.date AS sd, u.date AS ud, s.status AS ss, u.status AS us, u.external_id, u.copies,
+  round(CASE WHEN u.type = 'DEBIT' THEN -u.amount ELSE u.amount END, 2) = round(s.amount, 2) AND u.description IS NOT DISTINCT FROM s.description AS alike
+  FROM up1 u FULL JOIN w s ON u.account_id = s.account_id AND CAST(u.order_no AS VARCHAR) = s.id AND u.copy_no = 0),
+done AS (SELECT user_id, account_id, 'INSERT' AS action, stored_row, upstream_row, ud AS date, CAST(NULL AS VARCHAR) AS how, ss, us FROM dm WHERE stored_row IS NULL
+  UNION ALL SELECT user_id, account_id, 'DELETE', stored_row, upstream_row, sd, NULL, ss, us FROM dm WHERE upstream_row IS NULL
+  UNION ALL SELECT user_id, account_id, 'DELETE', stored_row, upstream_row, sd, 'moved', ss, us FROM dm WHERE upstream_row IS NOT NULL AND stored_row IS NOT NULL AND (sd <> ud OR ss <> us)
+  UNION ALL SELECT user_id, account_id, CASE WHEN alike AND sd = ud AND ss = us THEN 'IGNORE' ELSE 'UPDATE' END, stored_row, upstream_row, ud,
+    CASE WHEN external_id IS NOT NULL THEN 'external_id' WHEN copies = 1 THEN 'unique' ELSE 'optimistic' END, ss, us FROM dm WHERE upstream_row IS NOT NULL AND stored_row IS NOT NULL)"""
+
+
+@query("j2_reconcile_default", f"WITH {_DEFAULT} SELECT user_id, account_id, action, stored_row, upstream_row, CAST(date AS VARCHAR) AS date, how FROM done")
 def j2(fx):
     return greedy.reconcile_default(fx.upstream, fx.stored)
 
 
+@query("j2_each_row_once", f"""
+WITH {_WINDOW} SELECT account_id, 'stored' AS side, id AS row, 1::BIGINT AS n FROM w UNION ALL SELECT account_id, 'upstream', CAST(pos AS VARCHAR), 1 FROM fx_upstream""")
+def j2_once(fx):
+    done = greedy.reconcile_default(fx.upstream, fx.stored).where("how IS DISTINCT FROM 'moved'")
+    sides = (done.where(f"{side}_row IS NOT NULL").select("account_id", F.lit(side).alias("side"), F.col(f"{side}_row").alias("row")) for side in ("stored", "upstream"))
+    return next(sides).unionByName(next(sides)).groupBy("account_id", "side", "row").agg(F.count("*").alias("n"))
+
+
 #: Accounts in which an external id occurs more than once on a side.
 _COLLIDING = " UNION ALL ".join(f"SELECT account_id FROM {side} WHERE external_id IS NOT NULL GROUP BY account_id, external_id HAVING count(*) > 1" for side in ("fx_upstream", "fx_stored"))
 
 
 @query("j2_collision_free", f"""
-WITH ub AS (SELECT * FROM fx_upstream WHERE external_id IS NOT NULL AND copy_no = 0 AND account_id % 9 <> 0),
+WITH ub AS (SELECT * FROM fx_upstream WHERE external_id IS NOT NULL AND account_id NOT IN ({_COLLIDING})),
 b AS (SELECT account_id, min(ts) AS t0 FROM ub GROUP BY account_id),
-sb AS (SELECT s.* FROM fx_stored s JOIN b USING (account_id) WHERE external_id IS NOT NULL AND s.account_id % 9 <> 0 AND date_trunc('second', s.ts) >= date_trunc('second', t0)),
+sb AS (SELECT s.* FROM fx_stored s JOIN b USING (account_id) WHERE external_id IS NOT NULL AND s.account_id NOT IN ({_COLLIDING}) AND date_trunc('second', s.ts) >= date_trunc('second', t0)),
 j AS (SELECT coalesce(u.account_id, s.account_id) AS account_id, CAST(u.pos AS VARCHAR) AS u, s.id AS s, u.date AS ud, s.date AS sd, u.status AS us, s.status AS ss,
   round(CASE WHEN u.type = 'DEBIT' THEN -u.amount ELSE u.amount END, 2) = round(s.amount, 2) AND u.description IS NOT DISTINCT FROM s.description AS same
   FROM ub u FULL JOIN sb s ON u.account_id = s.account_id AND u.external_id = s.external_id)
@@ -196,13 +220,6 @@ UNION ALL SELECT account_id, 'DELETE', s, NULL FROM j WHERE u IS NULL
 UNION ALL SELECT account_id, 'DELETE', s, u FROM j WHERE u IS NOT NULL AND s IS NOT NULL AND (ud <> sd OR us <> ss)
 UNION ALL SELECT account_id, CASE WHEN same AND ud = sd AND us = ss THEN 'IGNORE' ELSE 'UPDATE' END, s, u FROM j WHERE u IS NOT NULL AND s IS NOT NULL""")
 def j2_free(fx):
-    up = fx.upstream.where("external_id IS NOT NULL AND copy_no = 0 AND account_id % 9 <> 0")
-    st = fx.stored.where("external_id IS NOT NULL AND account_id % 9 <> 0")
-    return greedy.reconcile_default(up, st).select("account_id", "action", "stored_row", "upstream_row")
-
-
-@query("j2_collision_free_all", _ORACLES["j2_collision_free"].replace("copy_no = 0 AND account_id % 9 <> 0", f"account_id NOT IN ({_COLLIDING})").replace("s.account_id % 9 <> 0", f"s.account_id NOT IN ({_COLLIDING})"))
-def j2_free_all(fx):
     known = lambda df: df.where("external_id IS NOT NULL")
     twice = lambda df: known(df).groupBy("account_id", "external_id").count().where("count > 1").select("account_id")
     colliding = twice(fx.upstream).unionByName(twice(fx.stored)).distinct()
@@ -210,7 +227,22 @@ def j2_free_all(fx):
     return greedy.reconcile_default(free(fx.upstream), free(fx.stored)).select("account_id", "action", "stored_row", "upstream_row")
 
 
-@query("a3_reconciliation_counters")
+query("j2_collision_free_all", _ORACLES["j2_collision_free"])(j2_free)
+
+
+@query("a3_reconciliation_counters", f"""
+WITH {_DEFAULT},
+p AS (SELECT DISTINCT CAST(account_id % 5 AS VARCHAR) AS provider FROM fx_upstream),
+d AS (SELECT CAST(account_id % 5 AS VARCHAR) AS provider, count(*) FILTER (action = 'INSERT') AS upstream_new, count(*) FILTER (how = 'moved') AS upstream_update, count(*) FILTER (action = 'IGNORE') AS upstream_unchanged,
+  count(*) FILTER (how = 'external_id') AS stored_match_extid, count(*) FILTER (how = 'unique') AS stored_match_uniq_attrs, count(*) FILTER (how = 'optimistic') AS stored_match_attrs,
+  count(*) FILTER (action = 'DELETE' AND how IS NULL AND ss = 'BOOKED') AS stored_no_match_booked, count(*) FILTER (action = 'DELETE' AND how IS NULL AND ss = 'PENDING') AS stored_no_match_pending,
+  count(*) FILTER (action IN ('UPDATE', 'IGNORE') AND ss = 'PENDING' AND us = 'BOOKED') AS stored_pending_to_booked, count(*) FILTER (action IN ('UPDATE', 'IGNORE') AND ss = 'BOOKED' AND us = 'PENDING') AS stored_booked_to_pending
+  FROM done GROUP BY 1),
+i AS (SELECT CAST(account_id % 5 AS VARCHAR) AS provider, sum(n) AS upstream_total, sum(n) FILTER (external_id IS NULL) AS quality_extid_missing, coalesce(sum(n) FILTER (external_id IS NOT NULL AND n > 1), 0) AS quality_extid_dupes
+  FROM (SELECT account_id, external_id, count(*) AS n FROM fx_upstream GROUP BY ALL) x GROUP BY 1),
+t AS (SELECT CAST(account_id % 5 AS VARCHAR) AS provider, count(*) AS stored_total FROM w GROUP BY 1),
+wide AS (SELECT provider, * EXCLUDE (provider) FROM p LEFT JOIN d USING (provider) LEFT JOIN i USING (provider) LEFT JOIN t USING (provider))
+SELECT provider, counter, CAST(value AS BIGINT) AS value FROM (UNPIVOT (SELECT provider, COLUMNS(* EXCLUDE (provider))::BIGINT FROM wide) ON * EXCLUDE (provider) INTO NAME counter VALUE value)""")
 def a3(fx):
     of = lambda df: df.withColumn("provider", (F.col("account_id") % 5).cast("string"))
     done = greedy.reconcile_default(fx.upstream, fx.stored)
@@ -222,13 +254,40 @@ def u1(fx):
     return greedy.reconcile_delta(fx.upstream)
 
 
-@query("u2_shadow_compare")
+_INSERTS = """passive AS (SELECT o.user_id, o.account_id, u0.row, u0.date, CASE WHEN is_fresh OR u0.date > newest - 7 THEN 'REGULAR' ELSE 'BACKFILLED' END AS fill_type
+  FROM o JOIN u0 ON o.account_id = u0.account_id WHERE outcome = 'OK' AND (is_fresh OR (u0.account_id, u0.row) IN (SELECT account_id, row FROM ul WHERE reason = 'PEERLESS')))"""
+_BOTH_STRATEGIES = f"{_STRATEGY}, {_INSERTS}, {_DEFAULT.replace(_WINDOW + ',', '', 1)}"
+
+
+@query("u2_shadow_compare", f"""{_BOTH_STRATEGIES}
+SELECT coalesce(d.account_id, p.account_id) AS account_id, coalesce(d.upstream_row, p.row) AS row, d.action AS active_action, CASE WHEN p.row IS NOT NULL THEN 'INSERT' END AS passive_action
+FROM (SELECT * FROM done WHERE action = 'INSERT') d FULL JOIN passive p ON d.account_id = p.account_id AND d.upstream_row = p.row WHERE d.upstream_row IS NULL OR p.row IS NULL""")
 def u2(fx):
     active = greedy.reconcile_default(fx.upstream, fx.stored).where("action = 'INSERT'").select("account_id", F.col("upstream_row").alias("row"), "action")
     passive = matching.reconcile_attributes(fx.upstream, fx.stored, TWO_STAGES).where("action = 'INSERT'").select("account_id", "row", "action")
     return greedy.shadow_compare(active, passive, ["account_id", "row"])
 
 
+def _routed(fx: Fixtures) -> DataFrame:
+    """Upstream rows with providers of all three strategies."""
+    n = F.col("account_id") % 3
+    return fx.upstream.withColumn("provider", F.when(n == 0, "TRIODOS_BANK_NL").when(n == 1, matching.DELTA_PROVIDER))
+
+
+@query("u2_reconcile", f"""{_BOTH_STRATEGIES}
+SELECT user_id, account_id, 'attributes' AS strategy, 'INSERT' AS action, CAST(NULL AS VARCHAR) AS stored_row, row AS upstream_row, CAST(date AS VARCHAR) AS date, fill_type FROM passive WHERE account_id % 3 = 0
+UNION ALL SELECT o.user_id, o.account_id, 'attributes', 'DELETE', w.id, NULL, CAST(w.date AS VARCHAR), NULL FROM o JOIN w ON o.account_id = w.account_id WHERE outcome = 'OK' AND w.status = 'PENDING' AND o.account_id % 3 = 0
+UNION ALL SELECT user_id, account_id, 'delta', 'INSERT', NULL, CAST(pos AS VARCHAR), CAST(date AS VARCHAR), 'REGULAR' FROM fx_upstream WHERE status = 'BOOKED' AND account_id % 3 = 1
+UNION ALL SELECT user_id, account_id, 'default', action, stored_row, upstream_row, CAST(date AS VARCHAR), CASE WHEN action = 'INSERT' THEN 'REGULAR' END FROM done WHERE account_id % 3 = 2""")
+def u2_reconcile(fx):
+    return router.reconcile(_routed(fx), fx.stored)[0]
+
+
+@query("u2_failures", _STRATEGY + " SELECT user_id, account_id, 'attributes' AS strategy, outcome FROM o WHERE outcome <> 'OK' AND account_id % 3 = 0")
+def u2_failures(fx):
+    return router.reconcile(_routed(fx), fx.stored)[1]
+
+
 # --- accounts -------------------------------------------------------------------------------
 
 _UPSTREAM_ACCOUNTS = """
@@ -247,7 +306,7 @@ n AS (SELECT u.user_id, u.user_site_id, u.pos, s.id, coalesce(s.last_fetch, TIME
   FROM u JOIN s ON u.user_id = s.user_id AND u.user_site_id = s.user_site_id),
 best AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY rule, f DESC, id) AS k FROM n WHERE rule IS NOT NULL)
 SELECT u.user_id, u.user_site_id, u.pos, b.id AS stored_id, CASE b.rule WHEN 1 THEN 'EXTERNAL_ID' WHEN 2 THEN 'ACCOUNT_NUMBER' WHEN 3 THEN 'MASKED_NUMBER' ELSE 'NONE' END AS match_type,
-  coalesce(u.scheme = 'IBAN' AND regexp_matches(u.number, '^[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{1,30}}$'), FALSE) AS is_normalized
+  coalesce(u.scheme = 'IBAN' AND NOT contains(u.number, ' ') AND regexp_replace(u.number, '[0-9]', '', 'g') <> '' AND regexp_replace(u.number, '[0-9]', '', 'g') = upper(regexp_replace(u.number, '[^A-Za-z]', '', 'g')), FALSE) AS is_normalized
 FROM u LEFT JOIN best b ON u.pos = b.pos AND b.k = 1""")
 def j6(fx):
     return acc.match_accounts(fx.sql(_UPSTREAM_ACCOUNTS), fx.sql(_STORED_ACCOUNTS), ["user_id", "user_site_id"])
@@ -302,7 +361,9 @@ def p1(fx):
     return out.select("account_id", "id", "amount", "date", utc.alias("ts"), "time_zone", "creditor_name", "creditor_iban", "creditor_pan", "debtor_bban", F.col("rate").cast("double").alias("rate"), "original_amount")
 
 
-@query("p7_transaction_view")
+@query("p7_transaction_view", """
+SELECT account_id, CAST(order_no AS VARCHAR) AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.000+02:00' AS timestamp, CASE WHEN order_no % 2 = 0 THEN 'C' || CAST(order_no AS VARCHAR) END AS creditor_name, 'c' || CAST(order_no AS VARCHAR) AS creditor_number,
+  CASE WHEN order_no % 5 = 0 THEN CASE order_no % 3 WHEN 0 THEN 'IBAN' WHEN 1 THEN 'PAN' ELSE 'BBAN' END END AS debtor_scheme, order_no % 4 <> 0 AS no_rate, CASE WHEN order_no % 6 = 0 THEN 'USD' END AS original_currency FROM fx_upstream""")
 def p7(fx):
     v = projections.transaction_view(projections.to_stored_txn(_upstream_ext(fx)))
     return v.select("account_id", "id", "timestamp", F.col("creditor.name").alias("creditor_name"), F.col("creditor.number").alias("creditor_number"), F.col("debtor.scheme").alias("debtor_scheme"), F.col("exchange_rate").isNull().alias("no_rate"), F.col("original_amount.currency").alias("original_currency"))
@@ -428,14 +489,14 @@ def j9(fx):
     return reads.merchant_suggest(asked, fx.merchants.withColumn("direct", F.lit(True)))
 
 
-@query("j7_group_similar", "SELECT user_id, description AS name, CAST(sum(count(*)) OVER (PARTITION BY user_id, description) AS BIGINT) AS n, account_id, CAST(count(*) AS BIGINT) AS n_ids, min(id) AS first_id FROM fx_stored WHERE account_id % 50 = 3 GROUP BY user_id, description, account_id")
+@query("j7_group_similar", """
+SELECT user_id, description AS name, CAST(sum(count(*)) OVER (PARTITION BY user_id, description) AS BIGINT) AS n, account_id, CAST(count(*) AS BIGINT) AS n_ids, min(id) AS first_id
+FROM fx_stored GROUP BY user_id, description, account_id""")
 def j7(fx):
-    return _similar(fx.stored.where("account_id % 50 = 3"))
+    return _similar(fx.stored)
 
 
-@query("j7_group_similar_all", _ORACLES["j7_group_similar"].replace("WHERE account_id % 50 = 3 ", ""))
-def j7_all(fx):
-    return _similar(fx.stored)
+query("j7_group_similar_all", _ORACLES["j7_group_similar"])(j7)
 
 
 def _similar(stored: DataFrame) -> DataFrame:
@@ -467,14 +528,14 @@ def a2(fx):
 
 
 def _instructions(fx: Fixtures) -> DataFrame:
-    """Recent stored rows as instructions, by their id."""
+    """Stored rows as instructions, by their id."""
     n = F.col("id").cast("long")
     action = F.when(n % 10 == 0, "DELETE").when(n % 10 < 3, "UPDATE").when(n % 10 < 5, "IGNORE").otherwise("INSERT")
-    return fx.stored.where("date >= DATE '2000-06-01'").withColumns({"action": action, "counterparty_number": F.when(n % 3 == 0, "N").when(n % 3 == 1, " "), "counterparty_name": F.when(n % 4 < 3, "C")})
+    return fx.stored.withColumns({"action": action, "counterparty_number": F.when(n % 3 == 0, "N").when(n % 3 == 1, " "), "counterparty_name": F.when(n % 4 < 3, "C")})
 
 
 _INSTRUCTIONS = """
-ins AS (SELECT *, CASE WHEN n % 10 = 0 THEN 'DELETE' WHEN n % 10 < 3 THEN 'UPDATE' WHEN n % 10 < 5 THEN 'IGNORE' ELSE 'INSERT' END AS action FROM (SELECT *, CAST(id AS BIGINT) AS n FROM fx_stored WHERE date >= DATE '2000-06-01') y)"""
+ins AS (SELECT *, CASE WHEN n % 10 = 0 THEN 'DELETE' WHEN n % 10 < 3 THEN 'UPDATE' WHEN n % 10 < 5 THEN 'IGNORE' ELSE 'INSERT' END AS action FROM (SELECT *, CAST(id AS BIGINT) AS n FROM fx_stored) y)"""
 
 
 @query("a4_balance_accuracy", f"""
@@ -488,25 +549,24 @@ def a4(fx):
 
 
 @query("a5_start_balance_check", f"""
-WITH i AS (SELECT account_id, abs(amount) AS a, ts, status FROM fx_stored WHERE date >= DATE '2000-06-01' AND account_id % 2 = 0),
+WITH i AS (SELECT account_id, abs(amount) AS a, ts, status FROM fx_stored),
 s AS (SELECT account_id, coalesce(sum(a) FILTER (ts <= TIMESTAMP '{NOW}' AND status = 'BOOKED'), 0) AS booked_now, coalesce(sum(a) FILTER (ts <= TIMESTAMP '{NOW}'), 0) AS all_now,
   coalesce(sum(a) FILTER (ts <= TIMESTAMP '{TODAY} 00:00:00' AND status = 'BOOKED'), 0) AS booked_midnight, coalesce(sum(a) FILTER (ts <= TIMESTAMP '{TODAY} 00:00:00'), 0) AS all_midnight FROM i GROUP BY account_id),
 l AS (UNPIVOT s ON booked_now, all_now, booked_midnight, all_midnight INTO NAME selection VALUE total)
 SELECT account_id, selection, 'CURRENT' AS balance_type, total = (SELECT sum(a) FROM i WHERE i.account_id = l.account_id AND status = 'BOOKED') AS equal FROM l WHERE account_id IN (SELECT account_id FROM i WHERE status = 'BOOKED')""")
 def a5(fx):
-    return _start_balances(fx.stored.where("account_id % 2 = 0"))
+    return _start_balances(fx.stored)
 
 
-@query("a5_start_balance_check_all", _ORACLES["a5_start_balance_check"].replace(" AND account_id % 2 = 0", ""))
-def a5_all(fx):
-    return _start_balances(fx.stored)
+query("a5_start_balance_check_all", _ORACLES["a5_start_balance_check"])(a5)
 
 
 def _start_balances(stored: DataFrame) -> DataFrame:
-    ins = stored.where("date >= DATE '2000-06-01'").withColumns({"amount": F.abs("amount"), "action": F.lit("INSERT")})
+    ins = stored.withColumns({"amount": F.abs("amount"), "action": F.lit("INSERT")})
     booked = ins.where("status = 'BOOKED'").groupBy("user_id", "account_id").agg(F.sum("amount").cast("decimal(18,2)").alias("b"))
     accounts = booked.select("user_id", "account_id", F.lit(True).alias("is_new"), F.array(F.struct(F.lit("CURRENT").alias("type"), F.col("b").alias("amount"))).alias("balances"))
-    return reports.start_balance_check(accounts, ins, NOW).select("account_id", "selection", "balance_type", "equal")
+    # The tables reach back further than a new account's first refresh: no row is too old here.
+    return reports.start_balance_check(accounts, ins, NOW, months=600).select("account_id", "selection", "balance_type", "equal")
 
 
 @query("a6_old_pending", f"""
@@ -614,6 +674,27 @@ def e4(fx):
     return out
 
 
+@query("e4_delete_cascade_rows", """
+WITH g AS (SELECT user_id, id FROM fx_accounts WHERE user_site_id % 5 = 0 AND user_id % 2 = 0), e AS (SELECT * FROM fx_enrichments WHERE (user_id, account_id) IN (SELECT user_id, id FROM g))
+SELECT 'accounts' AS section, user_id, CAST(id AS VARCHAR) AS key FROM g UNION ALL SELECT 'transactions', user_id, id FROM fx_stored WHERE (user_id, account_id) IN (SELECT user_id, id FROM g)
+UNION ALL SELECT 'enrichments', user_id, id FROM e UNION ALL SELECT 'cycles', user_id, cycle_id FROM fx_cycles WHERE (user_id, cycle_id) IN (SELECT user_id, cycle_id FROM e WHERE cycle_id IS NOT NULL)""")
+def e4_rows(fx):
+    targets = fx.accounts.where("user_site_id % 5 = 0 AND user_id % 2 = 0").select("user_id", "user_site_id").distinct()
+    gone = merges.delete_cascade(targets, fx.accounts, fx.stored, fx.enrichments, fx.cycles)
+    parts = [df.select(F.lit(section).alias("section"), "user_id", F.col("cycle_id" if section == "cycles" else "id").cast("string").alias("key")) for section, df in gone.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("e4_delete_envelopes", """
+WITH g AS (SELECT user_id, id FROM fx_accounts WHERE user_site_id % 5 = 0 AND user_id % 2 = 0)
+SELECT CAST(user_id AS VARCHAR) AS key, CAST(id AS VARCHAR) AS entity_id, 'true' AS gone FROM g
+UNION ALL SELECT CAST(user_id AS VARCHAR), CAST(user_id AS VARCHAR) || ':' || CAST(account_id AS VARCHAR) || ':' || CAST(date AS VARCHAR) || ':' || id, 'true' FROM fx_stored WHERE (user_id, account_id) IN (SELECT user_id, id FROM g)""")
+def e4_envelopes(fx):
+    targets = fx.accounts.where("user_site_id % 5 = 0 AND user_id % 2 = 0").select("user_id", "user_site_id").distinct()
+    out = sinks.delete_envelopes(merges.delete_cascade(targets, fx.accounts, fx.stored, fx.enrichments, fx.cycles))
+    return out.select("key", F.get_json_object("value", "$.entity_id").alias("entity_id"), F.get_json_object("value", "$.delete").alias("gone"))
+
+
 @query("e5_retention_delete", f"""
 WITH k AS (SELECT s.*, c.client_id, coalesce(c.client_id = 1 AND date < DATE '{TODAY}' - INTERVAL 365 DAY, FALSE) AS gone FROM fx_stored s LEFT JOIN fx_user_client c USING (user_id))
 SELECT count(*) AS seen, count(*) FILTER (gone) AS can_delete, count(*) FILTER (gone) AS did_delete, count(DISTINCT user_id) FILTER (gone) AS users, count(DISTINCT (user_id, account_id)) FILTER (gone) AS accounts, count(DISTINCT user_id) FILTER (client_id IS NULL) AS users_without_client FROM k""")
@@ -704,6 +785,19 @@ def k4(fx):
     return sinks.backfill_offload(fx.accounts, "account", fx.user_client, dry_run=True)
 
 
+@query("k4_backfill_feed", "SELECT CAST(user_id AS VARCHAR) AS key, CAST(id AS VARCHAR) AS entity_id, currency, CAST(credit_limit AS DOUBLE) AS credit_limit FROM fx_accounts WHERE user_id IN (SELECT user_id FROM fx_user_client)")
+def k4_feed(fx):
+    part = lambda p: F.get_json_object("value", p)
+    return sinks.backfill_offload(fx.accounts, "account", fx.user_client).select(
+        "key", part("$.entity_id").alias("entity_id"), part("$.payload.currency").alias("currency"), part("$.payload.credit_limit").cast("double").alias("credit_limit")
+    )
+
+
+@query("k5_personal_transactions", "SELECT user_id, sha256(CAST(account_id AS VARCHAR)) AS account, CAST(date AS VARCHAR) AS date, CAST(amount AS DOUBLE) AS amount, description FROM fx_stored")
+def k5_transactions(fx):
+    return sinks.personal_transactions(fx.stored)
+
+
 @query("k5_personal_accounts", "SELECT user_id, sha256(CAST(id AS VARCHAR)) AS account, type, currency, balance, coalesce(iban, '') AS identification FROM fx_accounts")
 def k5(fx):
     return sinks.personal_accounts(fx.accounts)
@@ -718,6 +812,16 @@ def k7(fx):
     return out.select("user_id", "first_month", "last_month", size("last_external_id").alias("n_last"), size("oldest_change").alias("n_changed"))
 
 
+@query("k7_finished_entries", f"""
+WITH {_INSTRUCTIONS}, l AS (SELECT user_id, account_id, arg_max(external_id, pos) AS v FROM fx_upstream WHERE external_id IS NOT NULL GROUP BY ALL)
+SELECT user_id, 'last_external_id' AS entry, CAST(account_id AS VARCHAR) AS account, v AS value FROM l
+UNION ALL SELECT user_id, 'oldest_change', CAST(account_id AS VARCHAR), CAST(min(date) AS VARCHAR) FROM ins WHERE action <> 'IGNORE' AND user_id IN (SELECT user_id FROM fx_upstream UNION SELECT user_id FROM fx_stored WHERE status = 'PENDING') GROUP BY user_id, account_id""")
+def k7_entries(fx):
+    out = sinks.ingestion_finished(fx.upstream, fx.stored, _instructions(fx), ["user_id"])
+    flat = lambda c: out.select("user_id", F.lit(c).alias("entry"), F.explode(c).alias("account", "value")).withColumn("value", F.col("value").cast("string"))
+    return flat("last_external_id").unionByName(flat("oldest_change"))
+
+
 # --- sources and streams --------------------------------------------------------------------
 
 @query("s2_split_invalid", """

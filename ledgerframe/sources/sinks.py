@@ -18,6 +18,11 @@ def offload_envelopes(df: DataFrame, kind: str, delete: Column | bool = False) -
     return df.select(F.col("user_id").cast("string").alias("key"), F.to_json(envelope).alias("value"))
 
 
+def delete_envelopes(gone: dict[str, DataFrame]) -> DataFrame:
+    """The change feed of a cascade of deletes: an envelope for each account and transaction that goes."""
+    return offload_envelopes(gone["accounts"], "account", True).unionByName(offload_envelopes(gone["transactions"], "transaction", True))
+
+
 def backfill_offload(df: DataFrame, kind: str, user_client: DataFrame, dry_run: bool = False) -> DataFrame:
     """The feed of a whole table, accounts only where the user's client is known; counts only on a dry run."""
     chosen = df.join(user_client.select("user_id"), "user_id", "left_semi") if kind == "account" else df
@@ -36,7 +41,8 @@ def personal_transactions(txns: DataFrame) -> DataFrame:
 def personal_data_export(accounts: DataFrame, txns: DataFrame, path: str) -> None:
     """One folder a user with both sections as CSV."""
     for section, df in (("accounts", personal_accounts(accounts)), ("transactions", personal_transactions(txns))):
-        df.write.mode("overwrite").partitionBy("user_id").option("header", True).csv(f"{path}/{section}")
+        # A user's rows come together first: one file a folder, not one for every task.
+        df.repartition("user_id").write.mode("overwrite").partitionBy("user_id").option("header", True).csv(f"{path}/{section}")
 
 
 def ingestion_finished(upstream: DataFrame, pending: DataFrame, changes: DataFrame, by: list[str]) -> DataFrame:

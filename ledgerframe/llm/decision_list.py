@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import byte_slices, byte_values, offsets
 
 SAMPLE_ROWS = 6_000
-MAX_RULES, MAX_CONDITIONS = 12, 4
+#: Conditions of one rule. The number of rules has no bound: covering ends when no rule is precise enough.
+MAX_CONDITIONS = 4
 #: A rule needs this precision and this many covered texts on the pruning part.
 MIN_PRECISION, MIN_COVER = 0.97, 5
 SYMBOLS = b"#*$%&|<>"
@@ -184,7 +185,7 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, grow: np.ndarray) -> list[l
     part = lambda rows: {k: v[rows] for k, v in x.items()}
     rules: list[list[Condition]] = []
     left = np.ones(len(bad), dtype=bool)
-    while len(rules) < MAX_RULES:
+    while True:
         inside = left & grow
         if not bad[inside].any() or bad[inside].all():
             break

@@ -30,6 +30,7 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.element_at("ends", -1).cast("long").alias("bytes_spanned"),
+        F.sha2(F.array_join(F.col("ends").cast("array<string>"), " ").cast("binary"), 256).alias("span_ends_sha256"),
     )
 
 
@@ -45,7 +46,7 @@ def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_context_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = context_pii.find_personal_data(table(spark, sf_dir, "documents"))
     counts = (F.size(F.filter("base", context_pii.of_kind(i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(context_pii.KINDS))
-    return found.select("doc_id", *counts, F.sha2(context_pii.written(F.col("base")).cast("binary"), 256).alias("base_sha256"), context_pii.written(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(context_pii.written(F.col("base")).cast("binary"), 256).alias("base_sha256"), context_pii.written(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op6_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

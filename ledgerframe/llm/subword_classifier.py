@@ -14,7 +14,8 @@ batch hashes its distinct words only and averages their numbers per document.
 The model that tasks receive has a fixed size: one float per hash bucket.
 
 Edge cases: null text counts as empty, and a text without words is scored by the
-bias alone; with no labelled rows, or labels of one kind, every score is the
+bias alone; texts and words of any length are scored whole, though texts of more
+than ``SAMPLE_TEXT_BYTES`` are not learned from; with no labelled rows, or labels of one kind, every score is the
 share of label 1 (0.5 without any); null ids are scored, in fold 0; an empty
 table gives an empty result.
 """
@@ -33,13 +34,13 @@ from pyspark.sql import functions as F
 from .common import byte_lengths, byte_slices, byte_values
 from .decision_list import split_words
 
-#: Bound of the training sample, in labelled rows.
-SAMPLE_ROWS = 2_500
+#: Bounds of the training sample: labelled rows, and bytes of a text that is learned from. Scoring has no bound.
+SAMPLE_ROWS, SAMPLE_TEXT_BYTES = 2_500, 1 << 16
 BUCKETS = 1 << 18
 DIM = 12
 MIN_N, MAX_N = 2, 4
-#: Bytes of a word from which character n-grams are taken; the whole word is hashed in any case.
-GRAM_BYTES = 24
+#: Bytes of words looked at together; a longer word is looked at in overlapping pieces.
+PIECE = 1 << 20
 EPOCHS, BATCH, RATE = 7, 64, 0.1
 FOLDS, HELD_FOLD = 3, 1
 
@@ -51,40 +52,50 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def word_buckets(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of each word's features, end to end, the word of each, and the hashes of the whole words."""
-    n = len(words)
-    lengths = byte_lengths(words)
-    width = GRAM_BYTES + 2
-    grid = np.zeros((n, width), dtype=np.uint8)
-    data = byte_values(words)
-    starts = np.cumsum(lengths) - lengths
-    short = np.minimum(lengths, GRAM_BYTES)
-    rows = np.repeat(np.arange(n), short)
-    cols = np.arange(len(rows)) - np.repeat(np.cumsum(short) - short, short)
-    grid[rows, cols + 1] = data[np.repeat(starts, short) + cols]
-    grid[:, 0] = ord("<")
-    grid[np.arange(n), short + 1] = ord(">")
-    whole = np.zeros(n, dtype=np.uint64)
-    at = starts.copy()
-    for step in range(int(lengths.max(initial=0))):
-        live = np.flatnonzero(lengths > step) if step else np.arange(n)
-        live = live[lengths[live] > step]
-        whole[live] = whole[live] * _MULTIPLIER + data[at[live] + step].astype(np.uint64) + np.uint64(1)
-        if step >= 4 * GRAM_BYTES:  # very long words: the rest enters by a sum
-            for w in live[lengths[live] > step + 1]:
-                rest = data[starts[w] + step + 1 : starts[w] + lengths[w]].astype(np.uint64)
-                whole[w] = whole[w] * _MULTIPLIER + (rest * np.arange(1, len(rest) + 1, dtype=np.uint64)).sum(dtype=np.uint64)
-            break
-    found, owners = [_mix(whole)], [np.arange(n)]
-    for size in range(MIN_N, MAX_N + 1):
-        h = np.full((n, width - size + 1), np.uint64(size * 0x9E3779B1), dtype=np.uint64)
-        for k in range(size):
-            h = h * _MULTIPLIER + grid[:, k : width - size + 1 + k].astype(np.uint64) + np.uint64(1)
-        inside = np.arange(width - size + 1)[None, :] + size <= (short + 2)[:, None]
-        found.append(_mix(h[inside]))
-        owners.append(np.nonzero(inside)[0])
-    return (np.concatenate(found) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(owners), found[0]
+def _powers(n: int, base: np.uint64) -> np.ndarray:
+    """base^0 to base^(n-1), modulo 2^64."""
+    return np.cumprod(np.concatenate(([np.uint64(1)], np.full(max(0, n - 1), base, dtype=np.uint64))), dtype=np.uint64)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """Polynomial hash of every whole word, of any length."""
+    lengths, data = byte_lengths(words), byte_values(words)
+    out = np.zeros(len(words), dtype=np.uint64)
+    ends = np.cumsum(lengths)
+    low = _powers(1 << 16, _MULTIPLIER)
+    high = _powers((int(lengths.max(initial=0)) >> 16) + 1, (low[-1:] * _MULTIPLIER)[0])
+    for start in range(0, len(data), PIECE):
+        at = np.arange(start, min(len(data), start + PIECE))
+        owner = np.searchsorted(ends, at, "right")
+        left = ends[owner] - 1 - at
+        worth = (data[at].astype(np.uint64) + np.uint64(1)) * low[left & 0xFFFF] * high[left >> 16]
+        heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        out[owner[heads]] += np.add.reduceat(worth, heads)
+    return _mix(out)
+
+
+def word_features(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, words) of the features of each word, piece by piece: its own hash and all its character n-grams."""
+    hashes = word_hashes(words)
+    yield (hashes % np.uint64(BUCKETS)).astype(np.int64), np.arange(len(words))
+    lengths, data = byte_lengths(words), byte_values(words)
+    ends = np.cumsum(lengths + 2)
+    starts = ends - lengths - 2
+    marked = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
+    marked[starts], marked[ends - 1] = ord("<"), ord(">")
+    inner = np.ones(len(marked), dtype=bool)
+    inner[starts] = inner[ends - 1] = False
+    marked[inner] = data
+    for begin in range(0, len(marked), PIECE):
+        at = np.arange(begin, min(len(marked), begin + PIECE))
+        owner = np.searchsorted(ends, at, "right")
+        left = ends[owner] - at
+        for size in range(MIN_N, MAX_N + 1):
+            inside = np.flatnonzero(left >= size)
+            h = np.full(len(inside), np.uint64(size * 0x9E3779B1), dtype=np.uint64)
+            for k in range(size):
+                h = h * _MULTIPLIER + marked[at[inside] + k].astype(np.uint64) + np.uint64(1)
+            yield (_mix(h) % np.uint64(BUCKETS)).astype(np.int64), owner[inside]
 
 
 def bigram_buckets(codes: np.ndarray, owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,8 +114,8 @@ def _bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kinds = max(1, len(coded.dictionary))
     pairs, times = np.unique(owner * kinds + codes, return_counts=True)
     doc, word = pairs // kinds, pairs % kinds
-    buckets, of, hashes = word_buckets(coded.dictionary)
-    pair, pair_doc = bigram_buckets(codes, owner, hashes)
+    buckets, of = (np.concatenate(x) for x in zip(*word_features(coded.dictionary), strict=True))
+    pair, pair_doc = bigram_buckets(codes, owner, word_hashes(coded.dictionary))
     n_pairs = np.maximum(np.bincount(pair_doc, minlength=len(texts)), 1)
     order = np.argsort(of, kind="stable")
     buckets, of = buckets[order], of[order]
@@ -129,8 +140,11 @@ class Model:
         coded = words.dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
         kinds = len(coded.dictionary)
-        buckets, of, hashes = word_buckets(coded.dictionary)
-        per_word = np.bincount(of, self.weights[buckets], minlength=kinds) / np.maximum(np.bincount(of, minlength=kinds), 1)
+        total, times = np.zeros(kinds), np.zeros(kinds)
+        for buckets, of in word_features(coded.dictionary):
+            total += np.bincount(of, self.weights[buckets], minlength=kinds)
+            times += np.bincount(of, minlength=kinds)
+        per_word, hashes = total / np.maximum(times, 1), word_hashes(coded.dictionary)
         n = np.bincount(owner, minlength=len(texts))
         pair, pair_doc = bigram_buckets(codes, owner, hashes)
         pairs = np.bincount(pair_doc, self.weights[pair], minlength=len(texts)) / np.maximum(np.bincount(pair_doc, minlength=len(texts)), 1)
@@ -184,7 +198,7 @@ def fold(doc_id) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from at most ``sample_rows`` labelled rows outside the held-out fold."""
+    """Learns from at most ``sample_rows`` labelled rows outside the held-out fold, none longer than ``SAMPLE_TEXT_BYTES``."""
     chosen = (
         labels.where(F.col(label_col).isin(0, 1) & (fold(F.col(id_col)) != HELD_FOLD))
         .select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
@@ -192,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     )
     rows = (
         docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-        .join(F.broadcast(chosen), "_id").orderBy(F.xxhash64("_id"), "_id", "_label", F.xxhash64("_text")).limit(sample_rows).toPandas()
+        .where(F.octet_length("_text") <= SAMPLE_TEXT_BYTES).join(F.broadcast(chosen), "_id").orderBy(F.xxhash64("_id"), "_id", "_label", F.xxhash64("_text")).limit(sample_rows).toPandas()
     )
     return train(rows["_text"].tolist(), rows["_label"].to_numpy(dtype=np.int64))
 

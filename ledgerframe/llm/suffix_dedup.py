@@ -74,6 +74,15 @@ def _unpack48(blob: bytes, bucket: int, bits: int) -> np.ndarray:
     return low.reshape(-1).view(np.uint64) | np.uint64(bucket << (64 - bits - max(0, 16 - bits)))
 
 
+def _planes(counts: np.ndarray) -> bytes:
+    """Two-byte numbers as their low bytes, then their high bytes, which compress to almost nothing."""
+    return np.ascontiguousarray(counts.view(np.uint8).reshape(-1, 2).T).tobytes()
+
+
+def _from_planes(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, dtype=np.uint8).reshape(2, -1).T).view("<u2").ravel()
+
+
 class Block:
     """A block's documents, by id and text whatever order the shuffle gave, and the runs of their windows."""
 
@@ -162,7 +171,7 @@ def _table(rows: list[tuple[int, int, bytes, bytes]]) -> pa.Table:
 
 
 def _send_keys(documents: pa.Table, bits: int) -> pa.Table:
-    """Step 1: a block's distinct keys, with the number of its documents that hold each, up to 255."""
+    """Step 1: a block's distinct keys, with the number of its documents that hold each (beyond 65,535 it makes no difference)."""
     block = Block(documents)
     if not len(block.anchors):
         return _table([])
@@ -171,13 +180,13 @@ def _send_keys(documents: pa.Table, bits: int) -> pa.Table:
     new_key = np.append(True, anchors[1:] != anchors[:-1])
     new_pair = new_key | np.append(True, owner[1:] != owner[:-1])
     heads = np.flatnonzero(new_key)
-    held = np.minimum(np.add.reduceat(new_pair.astype(np.int64), heads), 255).astype(np.uint8)
+    held = np.minimum(np.add.reduceat(new_pair.astype(np.int64), heads), 65_535).astype("<u2")
     keys = anchors[heads]
     bucket = keys >> np.uint64(64 - bits)
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)]))
     number = documents.column("block")[0].as_py()
     keyed = _keyed(keys, bits)
-    return _table([(number, int(bucket[a]), _pack48(keyed[a:b]), held[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    return _table([(number, int(bucket[a]), _pack48(keyed[a:b]), _planes(held[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
 
 
 def _answer_keys(messages: pa.Table, bits: int) -> pa.Table:
@@ -187,7 +196,7 @@ def _answer_keys(messages: pa.Table, bits: int) -> pa.Table:
     packed = messages.column("keys").to_pylist()
     parts = [_unpack48(x, bucket, bits) for x in packed]
     keys = np.concatenate(parts)
-    held = np.frombuffer(b"".join(messages.column("extra").to_pylist()), dtype=np.uint8)
+    held = np.concatenate([_from_planes(x) for x in messages.column("extra").to_pylist()])
     order = np.argsort(keys)
     heads = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
     total = np.empty(len(keys), dtype=np.int64)

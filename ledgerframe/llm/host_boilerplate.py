@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import anchored_runs
+from .common import cut
 
 #: Words of a string that counts as repeated, and of the pieces that anchor it.
 LENGTH, GRAM = 8, 2
@@ -58,7 +59,7 @@ MARKS = frozenset(
     "social share sharing related recommended recommendations widget toolbar pagination pager login signup search skip alert".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z:_-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
@@ -89,8 +90,9 @@ def page_blocks(page: str) -> tuple[list[str], list[tuple[str, bool]]]:
     article, article_depth, out, out_depth = "", 0, "", 0
 
     def flush() -> None:
-        text = " ".join(html.unescape("".join(parts)).split())
+        text = "".join(parts)
         parts.clear()
+        text = " ".join((html.unescape(text) if "&" in text else text).split())
         if text:
             if article and not out:
                 inner.append(text)
@@ -238,7 +240,8 @@ def in_parts(contexts: DataFrame) -> DataFrame:
 
 def covered_words(pages: DataFrame) -> DataFrame:
     """Rows of (key, covered): positions of the page's words, outside articles, under repeated strings."""
-    distinct = (
+    # Five branches read the distinct contexts: behind a checkpoint, pages are parsed for them once.
+    distinct = cut(
         _contexts(pages, words=True).groupBy("host", "anchor", "hash")
         .agg(F.min("key").alias("first"), F.max("key").alias("last"), F.any_value("context").alias("context"))
     )

@@ -23,7 +23,7 @@ from .graph import components
 from .matching import KEYS, stored_in_window
 
 FIELDS = ["row", "external_id", "date", "status", "cents", "raw", "description"]
-OUT = "user_id long, account_id long, action string, stored_row string, upstream_row string, date date, how string"
+OUT = "action string, stored_row string, upstream_row string, date date, how string"
 COMPARED = ["external_id", "date", "status", "cents", "description"]
 
 
@@ -174,7 +174,7 @@ def reconcile_default(upstream: DataFrame, stored: DataFrame, signed_tiebreak: b
             if key is not None:
                 done.extend((key[0], key[1], *x) for x in match_rows(sides["stored"], sides["upstream"], signed_tiebreak))
 
-        names = [x.split()[0] for x in OUT.split(", ")]
+        names = [*KEYS, *(x.split()[0] for x in OUT.split(", "))]
         for frame in frames:
             frame["external_id"] = frame["external_id"].astype(object).where(frame["external_id"].notna(), None)
             for row in frame.to_dict("records"):
@@ -190,7 +190,8 @@ def reconcile_default(upstream: DataFrame, stored: DataFrame, signed_tiebreak: b
 
     several = counted.where(~lone & ~single).select(*KEYS, "part", "side", "first", "second", *FIELDS)
     ordered = several.repartition(*KEYS, "part").sortWithinPartitions(*KEYS, "part", "side", "first", "second")
-    return alone.unionByName(_settle_pairs(pairs)).unionByName(ordered.mapInPandas(match, OUT))
+    keys = ", ".join(f"{k} {upstream.schema[k].dataType.simpleString()}" for k in KEYS)
+    return alone.unionByName(_settle_pairs(pairs)).unionByName(ordered.mapInPandas(match, f"{keys}, {OUT}"))
 
 
 def reconcile_delta(upstream: DataFrame) -> DataFrame:

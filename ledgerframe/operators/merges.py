@@ -43,9 +43,34 @@ def apply_instructions(stored: DataFrame, instructions: DataFrame, keys: list[st
     return stored.join(deletes, keys, "left_anti").join(new.select(*keys), keys, "left_anti").unionByName(new.select(*stored.columns))
 
 
-def write_touched_months(snapshot: DataFrame, path: str, date_col: str = "date") -> None:
-    """Overwrites only the month partitions that the snapshot has rows of."""
-    snapshot.withColumn("month", F.date_format(date_col, "yyyy-MM")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+def touched_months(instructions: DataFrame, date_col: str = "date") -> list[str]:
+    """The months that inserts, updates and deletes fall in; a handful whatever the number of instructions."""
+    changes = instructions.where("action <> 'IGNORE'").select(F.date_format(date_col, "yyyy-MM").alias("month"))
+    return sorted(r.month for r in changes.distinct().collect())
+
+
+def write_touched_months(snapshot: DataFrame, path: str, date_col: str = "date", months: list[str] | None = None) -> None:
+    """Overwrites month partitions: those that the snapshot has rows of, or just ``months``.
+
+    Of ``months``, those without a row in the snapshot are emptied: their folders go.
+    """
+    rows = snapshot.withColumn("month", F.date_format(date_col, "yyyy-MM"))
+    if months is not None:
+        rows = rows.where(F.col("month").isin(*months)) if months else rows.limit(0)
+        left = {r.month for r in rows.select("month").distinct().collect()}
+    rows.repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    for month in sorted(set(months or ()) - (left if months is not None else set())):
+        folder = snapshot.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/month={month}")
+        folder.getFileSystem(snapshot.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def write_instructions(instructions: DataFrame, path: str, keys: list[str] = TXN_KEYS) -> list[str]:
+    """Applies instructions to a table by months: only touched months are read and written; returns them."""
+    months = touched_months(instructions)
+    if months:
+        stored = instructions.sparkSession.read.parquet(path).where(F.col("month").isin(*months)).drop("month")
+        write_touched_months(apply_instructions(stored, instructions, keys), path, months=months)
+    return months
 
 
 def cycle_changeset(local: DataFrame, upstream: DataFrame) -> DataFrame:
@@ -146,8 +171,9 @@ def merge_enrichments(side: DataFrame, messages: DataFrame, keys: list[str] = TX
     """
     of = lambda domain, c: F.when(F.col("domain") == domain, F.col(c))
     named = F.col("counterparty_name").isNotNull()
+    typed = [of("CATEGORIES", c).alias(c) for c in ("sme_category", "personal_category") if c in messages.columns]
     patch = messages.select(
-        *keys, "time", "message_index", of("CATEGORIES", "category").alias("category"), of("LABELS", "labels").alias("labels"),
+        *keys, "time", "message_index", *typed, of("CATEGORIES", "category").alias("category"), of("LABELS", "labels").alias("labels"),
         F.when(named, of("COUNTER_PARTIES", "counterparty_name")).alias("counterparty_name"), F.when(named, of("COUNTER_PARTIES", "known_merchant")).alias("known_merchant"),
         of("TRANSACTION_CYCLES", "cycle_id").alias("cycle_id"),
     )

@@ -22,12 +22,22 @@ ACCOUNT = (
 )
 REFRESH = f"activityId string, userId string, userSiteId string, siteId string, provider string, ingestionAccounts array<{ACCOUNT}>"
 
+_CYCLE = (
+    "struct<id:string,amount:decimal(18,2),currency:string,period:string,modelParameters:struct<amount:decimal(18,2),currency:string,period:string>,"
+    "predictedOccurrences:array<date>,label:string,isSubscription:boolean,counterparty:string>"
+)
 _KEY = "struct<accountId:string,transactionId:string,userId:string,date:date,pending:int>"
 ENRICHMENT = (
     "domain string, version int, activityId string, time timestamp, key struct<userId:string,requestTraceId:string>, messageIndex int, messageTotal int, "
-    f"transactions array<struct<key:{_KEY},category:string,counterparty:string,isMerchant:boolean,labels:array<string>,cycleId:string>>, "
-    "transactionCycles struct<credits:array<struct<id:string,amount:decimal(18,2),currency:string,period:string>>,debits:array<struct<id:string,amount:decimal(18,2),currency:string,period:string>>>"
+    f"transactions array<struct<key:{_KEY},category:string,source:string,categories:map<string,struct<category:string,categorySource:string>>,counterparty:string,isMerchant:boolean,"
+    "counterpartySource:string,labels:array<string>,cycleId:string>>, "
+    f"transactionCycles struct<credits:array<{_CYCLE}>,debits:array<{_CYCLE}>>"
 )
+# What the domains are called in messages.
+DOMAIN_NAMES = {
+    "CategoriesEnrichment": "CATEGORIES", "CounterpartiesEnrichment": "COUNTER_PARTIES", "TransactionCyclesEnrichment": "TRANSACTION_CYCLES", "LabelsEnrichment": "LABELS",
+    "PreprocessingEnrichment": "PREPROCESSING",
+}
 
 
 def read_refreshes(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
@@ -37,9 +47,12 @@ def read_refreshes(spark: SparkSession, path: str, streaming: bool = False) -> D
 
 
 def read_enrichments(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Enrichment messages of all domains under one schema; unknown fields are left out."""
+    """Enrichment messages of all domains under one schema, their domains by name; unknown fields are left out, unknown domains stay as they are."""
     reader = spark.readStream if streaming else spark.read
-    return reader.schema(ENRICHMENT).json(path)
+    domain = F.col("domain")
+    for written, name in DOMAIN_NAMES.items():
+        domain = F.when(F.col("domain") == written, name).otherwise(domain)
+    return reader.schema(ENRICHMENT).json(path).withColumn("domain", domain)
 
 
 def upstream_accounts(messages: DataFrame) -> DataFrame:
@@ -76,10 +89,16 @@ def split_invalid(rows: DataFrame, message: list[str], required: list[str]) -> t
 
 
 def enrichment_rows(messages: DataFrame) -> DataFrame:
-    """One row a transaction of an enrichment message, with the fields of all domains."""
-    one = messages.select("domain", "time", "messageIndex", F.explode("transactions").alias("t"))
+    """One row a transaction of an enrichment message, with the fields of all domains.
+
+    A cycle counts only if the message itself lists it.
+    """
+    cycles = F.coalesce(F.transform(F.concat("transactionCycles.credits", "transactionCycles.debits"), lambda c: c["id"]), F.array().cast("array<string>"))
+    one = messages.select("domain", "time", "messageIndex", cycles.alias("cycles"), F.explode("transactions").alias("t"))
+    detected = lambda kind: F.element_at("t.categories", kind)["category"]
     return one.select(
         F.col("t.key.userId").alias("user_id"), F.col("t.key.accountId").alias("account_id"), F.col("t.key.date").alias("date"), F.col("t.key.transactionId").alias("id"), "domain", "time",
         F.coalesce("messageIndex", F.lit(0)).alias("message_index"), F.col("t.category").alias("category"), F.col("t.labels").alias("labels"), F.col("t.counterparty").alias("counterparty_name"),
-        F.col("t.isMerchant").alias("known_merchant"), F.col("t.cycleId").alias("cycle_id"),
+        F.col("t.isMerchant").alias("known_merchant"), F.when(F.array_contains("cycles", F.col("t.cycleId")), F.col("t.cycleId")).alias("cycle_id"),
+        detected("sme_categories").alias("sme_category"), detected("personal_categories").alias("personal_category"),
     )

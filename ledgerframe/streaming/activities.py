@@ -78,14 +78,14 @@ class ActivityTracker(StatefulProcessor):
         self.progress = handle.getValueState("progress", "expected long, sum long, timer long, domains string")
         self.oldest = handle.getMapState("oldest", "account_id string", "oldest string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
         activity = key[0]
         frame = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "message_id"], kind="stable")
         for row in frame.to_dict("records"):
             state = self.progress.get() if self.progress.exists() else None
             if not pd.isna(row["expected"]):
                 if state is None:
-                    timer = timer_values.getCurrentProcessingTimeInMs() + self.timeout_ms
+                    timer = timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms
                     self.handle.registerTimer(timer)
                     self.progress.update((int(row["expected"]), 0, timer, ""))
                 continue
@@ -104,7 +104,7 @@ class ActivityTracker(StatefulProcessor):
             else:
                 self.progress.update((expected, total, timer, domains))
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N803
         if self.progress.exists():
             self._clear(None)
             yield pd.DataFrame({"activity_id": [key[0]], "status": ["TIMEOUT"], "account_id": [None], "oldest_date": [None]})
@@ -120,12 +120,13 @@ class ActivityTracker(StatefulProcessor):
 
 
 TRACKER_INPUT = "activity_id long, message_id long, ts timestamp, account_id string, domain string, date string, is_last boolean, expected long"
-TRACKER_OUTPUT = "activity_id long, status string, account_id string, oldest_date string"
+TRACKER_OUTPUT = "status string, account_id string, oldest_date string"
 
 
 def track_activities(events: DataFrame, timeout_ms: int = TIMEOUT_MS, dedupe_pages: bool = False) -> DataFrame:
     """Start events (``expected`` set) and messages in one stream, columns as ``TRACKER_INPUT``. Needs the RocksDB state store."""
-    return events.groupBy("activity_id").transformWithStateInPandas(ActivityTracker(timeout_ms, dedupe_pages), TRACKER_OUTPUT, "Append", "ProcessingTime")
+    kind = events.schema["activity_id"].dataType.simpleString()
+    return events.groupBy("activity_id").transformWithStateInPandas(ActivityTracker(timeout_ms, dedupe_pages), f"activity_id {kind}, {TRACKER_OUTPUT}", "Append", "ProcessingTime")
 
 
 def wanted_messages(messages: DataFrame, user_client: DataFrame, subscriptions: DataFrame) -> DataFrame:
@@ -134,11 +135,19 @@ def wanted_messages(messages: DataFrame, user_client: DataFrame, subscriptions:
     return known.join(user_client, "user_id").join(subscriptions, "client_id").where(F.array_contains("domains", F.col("domain"))).select(*messages.columns)
 
 
-def enrichment_stream(messages: DataFrame, load: Callable[[], DataFrame], save: Callable[[DataFrame], None], checkpoint: str, trigger: dict | None = None):
-    """Merges enrichment messages into the side table micro-batch by micro-batch."""
+def enrichment_stream(
+    messages: DataFrame, load: Callable[[], DataFrame], save: Callable[[DataFrame], None], checkpoint: str, trigger: dict | None = None,
+    clients: Callable[[], tuple[DataFrame, DataFrame]] | None = None,
+):
+    """Merges enrichment messages into the side table micro-batch by micro-batch.
+
+    ``clients`` gives (user_client, subscriptions); with it, only domains count that the user's client subscribes to.
+    """
     def merge(batch: DataFrame, _: int) -> None:
-        rows = enrichment_rows(batch.where(F.col("domain").isin(*SUBSCRIBED) & (F.col("version") == VERSION)))
-        save(merge_enrichments(load(), rows))
+        known = batch.where(F.col("domain").isin(*SUBSCRIBED) & (F.col("version") == VERSION))
+        if clients is not None:
+            known = wanted_messages(known.withColumn("user_id", F.col("key.userId")), *clients())
+        save(merge_enrichments(load(), enrichment_rows(known)))
 
     return messages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -146,7 +155,9 @@ def enrichment_stream(messages: DataFrame, load: Callable[[], DataFrame], save:
 def ingest_stream(refreshes: DataFrame, apply: Callable[[DataFrame], None], checkpoint: str, trigger: dict | None = None):
     """Applies refreshes in rounds, so that two refreshes of one user-site in a micro-batch keep their order."""
     def rounds(batch: DataFrame, _: int) -> None:
-        order = Window.partitionBy("userId", "userSiteId").orderBy("activityId")
+        # Activity ids are random: where the source tells when a message came, that is the order.
+        came = [c for c in ("offset", "received", "timestamp") if c in batch.columns]
+        order = Window.partitionBy("userId", "userSiteId").orderBy(*came, "activityId")
         ranked = batch.withColumn("_round", F.dense_rank().over(order)).persist()
         last = ranked.agg(F.max("_round")).first()[0] or 0
         for n in range(1, last + 1):

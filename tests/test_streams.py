@@ -4,6 +4,7 @@ import json
 import time
 from datetime import datetime
 
+from pyspark.sql import functions as F
 
 from ledgerframe.operators import merges, reads, reports
 from ledgerframe.plans.fixtures import Fixtures
@@ -78,6 +79,53 @@ def test_enrichment_stream_merges_files(spark, tmp_path):
     assert (row.user_id, row.category, row.counterparty_name, row.known_merchant) == ("7", "Food", "Shop", True)
 
 
+def wire(domain, transaction, **more):
+    key = {"accountId": "a", "transactionId": "t", "userId": "u", "date": "2020-08-04", "pending": 1}
+    return {"domain": domain, "version": 1, "activityId": "7183ea5e", "time": "2000-08-04T16:00:00.000000+02:00", "key": {"userId": "u", "requestTraceId": "r"}, "transactions": [{"key": key} | transaction]} | more
+
+
+def test_enrichment_stream_on_messages_as_they_are_sent(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    cycle = {"id": "c1", "amount": 5.0, "currency": "GBP", "period": "P1M", "modelParameters": {"amount": 5.0, "currency": "GBP", "period": "P1M"}, "predictedOccurrences": ["2020-08-04"], "label": "RENT", "isSubscription": True, "counterparty": "S"}
+    lines = [
+        wire("CategoriesEnrichment", {"category": "Drinks", "source": "Y", "categories": {"sme_categories": {"category": "transport", "categorySource": "X"}, "personal_categories": {"category": "Bar", "categorySource": "X"}}}),
+        wire("CounterpartiesEnrichment", {"counterparty": "Ajax", "isMerchant": True, "counterpartySource": "A"}), wire("LabelsEnrichment", {"labels": ["Red", "Yellow"]}),
+        wire("TransactionCyclesEnrichment", {"cycleId": "c1"}, transactionCycles={"credits": [cycle], "debits": []}), wire("PreprocessingEnrichment", {}),
+    ]
+    (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, lines)))
+    side = "user_id string, account_id string, date date, id string, category string, sme_category string, personal_category string, labels array<string>, counterparty_name string, known_merchant boolean, cycle_id string"
+    empty = spark.createDataFrame([], side)
+    user_client = spark.createDataFrame([("u", 1)], "user_id string, client_id long")
+    got = {}
+    for name, domains in (("all", list(activities.SUBSCRIBED)), ("some", ["LABELS"])):
+        subscriptions = spark.createDataFrame([(1, domains)], "client_id long, domains array<string>")
+        stream = messages.read_enrichments(spark, str(tmp_path / "in"), streaming=True)
+        activities.enrichment_stream(stream, lambda: empty, lambda df, n=name: got.update({n: df.collect()}), str(tmp_path / name), clients=lambda s=subscriptions: (user_client, s)).awaitTermination(120)
+    (row,), (some,) = got["all"], got["some"]
+    assert (row.category, row.sme_category, row.personal_category, row.labels, row.counterparty_name, row.known_merchant, row.cycle_id) == ("Drinks", "transport", "Bar", ["Red", "Yellow"], "Ajax", True, "c1")
+    assert (some.category, some.labels, some.cycle_id) == (None, ["Red", "Yellow"], None)
+    unlisted = spark.read.json(spark.sparkContext.parallelize([json.dumps(wire("TransactionCyclesEnrichment", {"cycleId": "c2"}, transactionCycles={"credits": [cycle], "debits": []}))]), schema=messages.ENRICHMENT)
+    assert messages.enrichment_rows(unlisted).first().cycle_id is None
+
+
+def test_time_out_of_an_activity(spark, tmp_path):
+    source = tmp_path / "in"
+    rows = [("act", 0, at(0), None, None, None, None, 11), ("act", 1, at(1), "a", "CATEGORIES", "2021-02-03", True, None)]
+    schema = EVENTS.replace("activity_id long", "activity_id string")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(source))
+    stream = activities.track_activities(spark.readStream.schema(schema).parquet(str(source)), timeout_ms=200)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    query = stream.writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "check")).trigger(processingTime="1 second").start()
+    for _ in range(900):
+        if query.exception() or spark.table("late").count():
+            break
+        time.sleep(0.1)
+    query.stop()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert query.exception() is None
+    assert [tuple(r) for r in spark.table("late").collect()] == [("act", "TIMEOUT", None, None)]
+
+
 def test_ingest_rounds_and_deletions(spark, tmp_path):
     folder = tmp_path / "refreshes"
     folder.mkdir()
@@ -128,6 +176,9 @@ def test_month_partitions_and_export(spark, tmp_path):
     month = quarter.where("date_format(date, 'yyyy-MM') = '2000-06'")
     merges.write_touched_months(month.limit(1), path)
     assert spark.read.parquet(path).count() == before - month.count() + 1
+    gone = quarter.where("date_format(date, 'yyyy-MM') = '2000-07'").withColumn("action", F.lit("DELETE"))
+    assert merges.write_instructions(gone, path) == ["2000-07"]
+    assert {r.month for r in spark.read.parquet(path).select("month").distinct().collect()} == {"2000-05", "2000-06"}
     sinks.personal_data_export(fx.accounts.where("user_id = 1"), fx.stored.where("user_id = 1"), str(tmp_path / "export"))
     assert spark.read.option("header", True).csv(str(tmp_path / "export/accounts/user_id=1")).count() == fx.accounts.where("user_id = 1").count()
 

@@ -30,8 +30,8 @@ def match_accounts(upstream: DataFrame, stored: DataFrame, by: list[str]) -> Dat
 
     First rule that hits: equal external id; equal scheme, normal number and
     currency; for credit cards equal normal masked number and currency. Ties go to
-    the latest fetch, then the smallest id. A stored account of another currency
-    is no match by external id.
+    the latest fetch, then the smallest id. A match by external id may be of
+    another currency: see ``currency_conflicts``.
     """
     u = upstream.select(*by, "pos", F.col("external_id").alias("u_ext"), F.col("scheme").alias("u_scheme"), F.col("number").alias("u_number"), F.col("currency").alias("u_currency"), F.col("masked").alias("u_masked"), F.col("type").alias("u_type"))
     s = stored.select(*by, F.col("id").alias("stored_id"), "external_id", "scheme", "number", "currency", "masked", "type", "last_fetch")
@@ -53,6 +53,13 @@ def match_accounts(upstream: DataFrame, stored: DataFrame, by: list[str]) -> Dat
     return u.join(top, [*by, "pos"], "left").select(*by, "pos", "stored_id", F.coalesce("match_type", F.lit("NONE")).alias("match_type"), F.coalesce(is_normal_identification("u_scheme", "u_number"), F.lit(False)).alias("is_normalized"))
 
 
+def currency_conflicts(matches: DataFrame, upstream: DataFrame, stored: DataFrame, by: list[str]) -> DataFrame:
+    """Matched accounts whose stored currency is another: rows of (by, pos). Their message fails at that place of its list."""
+    new = upstream.select(*by, "pos", F.col("currency").alias("_new"))
+    old = stored.select(*by, F.col("id").alias("stored_id"), F.col("currency").alias("_old"))
+    return matches.join(new, [*by, "pos"]).join(old, [*by, "stored_id"]).where(~F.col("_new").eqNullSafe(F.col("_old"))).select(*by, "pos")
+
+
 def user_sites_of(accounts: DataFrame, ids: DataFrame) -> DataFrame:
     """User-sites of accounts, for finished events."""
     return ids.join(accounts.select("user_id", F.col("id").alias("account_id"), "user_site_id"), ["user_id", "account_id"])

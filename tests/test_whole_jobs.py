@@ -7,7 +7,7 @@ from decimal import Decimal as D
 from pyspark.sql import functions as F
 from test_matching import ST, UP, day, st, up
 
-from ledgerframe.operators import greedy, matching, reports, router
+from ledgerframe.operators import accounts, greedy, matching, reports, router
 from ledgerframe.plans import catalog
 from ledgerframe.plans.fixtures import Fixtures
 
@@ -78,3 +78,12 @@ def test_old_months_never_reach_the_window(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "month" in plan.split("PartitionFilters: [")[1].split("]")[0] and "GreaterThanOrEqual(date" in plan
     assert found.count() == matching.stored_in_window(upstream, stored).count()
+
+
+def test_a_matched_account_of_another_currency_is_a_conflict(spark):
+    shape = "user_id long, pos long, id long, external_id string, scheme string, number string, currency string, masked string, type string, last_fetch timestamp_ntz"
+    row = lambda k, ext, currency: (1, k, 10 + k, ext, None, None, currency, None, "CURRENT_ACCOUNT", None)
+    upstream = spark.createDataFrame([row(0, "a", "EUR"), row(1, "b", "EUR"), row(2, "new", "EUR")], shape).drop("id", "last_fetch")
+    stored = spark.createDataFrame([row(0, "a", "EUR"), row(1, "b", "GBP")], shape).drop("pos")
+    matches = accounts.match_accounts(upstream, stored, ["user_id"])
+    assert [tuple(r) for r in accounts.currency_conflicts(matches, upstream, stored, ["user_id"]).collect()] == [(1, 1)]

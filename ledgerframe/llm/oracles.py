@@ -53,3 +53,38 @@ ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
+
+PHRASES = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+  FROM worded, (SELECT unnest([1, 2, 3]) AS m) WHERE len(w) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM grams GROUP BY lang, m, phrase HAVING count(*) >= 10),
+n AS (SELECT lang, sum(len(w)) AS n FROM worded GROUP BY lang),
+split AS MATERIALIZED (
+  SELECT lang, phrase, m, w, f AS a, k, lang || chr(9) || array_to_string(w[1:k], ' ') AS lp, lang || chr(9) || array_to_string(w[k + 1:m], ' ') AS rp
+  FROM f, (SELECT unnest([1, 2]) AS k) WHERE k < m),
+named AS MATERIALIZED (SELECT lang || chr(9) || phrase AS p, f FROM f),
+lefts AS MATERIALIZED (SELECT split.*, f AS l FROM split JOIN named ON p = lp),
+cuts AS (
+  SELECT lefts.*, f AS r, (1000000::HUGEINT * a * a) // (l::HUGEINT * f) AS score FROM lefts JOIN named ON p = rp),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+around AS (
+  SELECT lang, phrase, max(a) AS most, count(*) FILTER (front) AS n_left, count(*) FILTER (NOT front) AS n_right
+  FROM (SELECT lang, f AS a, array_to_string(w[2:3], ' ') AS phrase, true AS front FROM f WHERE m = 3
+        UNION ALL SELECT lang, f, array_to_string(w[1:2], ' '), false FROM f WHERE m = 3)
+  GROUP BY lang, phrase),
+kept AS (
+  SELECT b.*, coalesce(n_left, 0) AS n_left, coalesce(n_right, 0) AS n_right
+  FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.phrase = b.phrase AND b.m = 2
+  WHERE o.most IS NULL OR 100 * o.most < 50 * b.a),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score, CAST(n_left AS BIGINT) AS n_left, CAST(n_right AS BIGINT) AS n_right
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""

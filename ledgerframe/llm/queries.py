@@ -12,6 +12,7 @@ from . import context_pii, decision_list, oracles, piece_codec, subword_classifi
 from .common import table
 from .curriculum_mix import curriculum_mix, in_training_order
 from .host_boilerplate import main_text
+from .phrase_mining import mine_phrases
 from .range_shards import shard_by_ranges
 from .simhash_tiles import near_duplicates
 from .suffix_dedup import remove_repeats
@@ -79,6 +80,10 @@ def op10_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,8 +91,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_piece_codec, op3_host_boilerplate, op4_curriculum_mix, op5_context_pii, op6_range_shards, op7_subword_classifier, op8_va_topk, op9_decision_list, op10_simhash_tiles, pipeline)}
+    found = (
+        op1_suffix_dedup, op2_piece_codec, op3_host_boilerplate, op4_curriculum_mix, op5_context_pii, op6_range_shards, op7_subword_classifier,
+        op8_va_topk, op9_decision_list, op10_simhash_tiles, op12_phrase_mining, pipeline,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_curriculum_mix": oracles.CURRICULUM_MIX, "op8_va_topk": oracles.VA_TOPK}
+    return {"op4_curriculum_mix": oracles.CURRICULUM_MIX, "op8_va_topk": oracles.VA_TOPK, "op12_phrase_mining": oracles.PHRASES}

@@ -37,7 +37,7 @@ from .word_index import levels, words_of
 
 MIN_COUNT, MAX_WORDS, COVER, TOP = 10, 3, 50, 2000
 #: Bytes of text in a shard, and bytes of all texts for each bucket of phrases.
-SHARD_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
+SHARD_BYTES, BUCKET_BYTES = 6 << 20, 8 << 20
 
 _BLOCK = pa.schema([("phrase", pa.large_string()), ("words", pa.int8()), ("count", pa.int64())])
 
@@ -103,6 +103,7 @@ def phrase_counts(docs: DataFrame, text_col="text", lang_col="lang", max_words:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(found)), pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["lang", "bucket", "block"]
                     )
+                pa.default_memory_pool().release_unused()
 
         for batch in batches:
             batch = batch.take(pc.sort_indices(batch.column("lang")))

@@ -67,7 +67,7 @@ def _sorted_rows(keys: np.ndarray) -> np.ndarray:
     """Row numbers in stable order of the keys."""
     packed = (keys.astype(np.int64) << 32) | np.arange(len(keys))
     packed.sort()
-    return packed & 0xFFFFFFFF
+    return packed.astype(np.int32)  # the low half
 
 
 def levels(ids: np.ndarray, piece: np.ndarray, depth: int) -> list[Level]:
@@ -85,17 +85,17 @@ def levels(ids: np.ndarray, piece: np.ndarray, depth: int) -> list[Level]:
     count = np.bincount(label)
     one = np.arange(len(count))
     found = [Level(count, [one], one, one)]
-    where = np.zeros(len(text), dtype=np.int64)
+    where = np.zeros(len(text), dtype=np.int32)
     for _ in range(1, depth):
         where[at] = label
         front = text[at - 1]  # the transform's column
-        live = np.flatnonzero(front)
+        live = np.flatnonzero(front).astype(np.int32)
         rows = live[_sorted_rows(front[live])]  # the inverse of the last-to-first mapping
         front, rest, at = front[rows] - 1, label[rows], at[rows] - 1
         new = np.ones(len(rows), dtype=bool)
         new[1:] = (front[1:] != front[:-1]) | (rest[1:] != rest[:-1])
         heads = np.flatnonzero(new)
-        label = np.cumsum(new) - 1
+        label = np.cumsum(new, dtype=np.int32) - 1
         before = found[-1].words
         found.append(
             Level(np.diff(np.append(heads, len(rows))), [front[heads], *(w[rest[heads]] for w in before)], rest[heads], where[at[heads]])

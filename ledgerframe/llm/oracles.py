@@ -88,3 +88,79 @@ SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(
        CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score, CAST(n_left AS BIGINT) AS n_left, CAST(n_right AS BIGINT) AS n_right
 FROM ranked JOIN n USING (lang) WHERE rank <= 2000
 """
+
+PREFIX_TRIE = r"""
+WITH crc_table AS (
+  SELECT list(list_reduce(list_concat([b], [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY b) AS tab
+  FROM (SELECT unnest(range(256)) AS b)),
+ids AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM conversations WHERE conv_id IS NOT NULL),
+spread AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+         xor(list_reduce(list_concat([4294967295], list_transform(range(1, len(s) + 1), lambda i: CAST(ascii(s[i]) AS BIGINT))),
+                         lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 6 AS h
+  FROM ids, crc_table),
+own AS (
+  SELECT conv_id, list(struct_pack(role := coalesce(role, ''), txt := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS seq
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+rebuilt AS (
+  SELECT s.conv_id, list_concat(coalesce(b.seq[1:h], []), o.seq[h + 1:]) AS seq
+  FROM spread s JOIN own o USING (conv_id) LEFT JOIN own b ON b.conv_id = s.base),
+paths AS (
+  SELECT conv_id, d, seq[1:d] AS node, len(seq) = d AS ends, coalesce(len(seq[d].txt), 0) AS chars
+  FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT CAST(node AS VARCHAR) || '#' || d AS id, any_value(node) AS node, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         (count(*) - 1) * any_value(chars) AS saved,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM paths GROUP BY node, d),
+linked AS (SELECT *, CASE WHEN depth > 0 THEN CAST(node[1:depth - 1] AS VARCHAR) || '#' || (depth - 1) END AS parent FROM nodes),
+children AS (SELECT parent AS id, count(*) AS n_children FROM linked WHERE parent IS NOT NULL GROUP BY parent),
+ups AS (
+  SELECT CAST(node[1:e] AS VARCHAR) || '#' || e AS id, saved, n_children IS NULL AS leaf
+  FROM (SELECT l.*, c.n_children, unnest(range(0, depth + 1)) AS e FROM linked l LEFT JOIN children c USING (id))),
+below AS (SELECT id, sum(saved) AS saved_tokens, count(*) FILTER (leaf) AS n_leaves FROM ups GROUP BY id)
+SELECT l.conv_id, CAST(l.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, l.n_convs, coalesce(c.n_children, 0) AS n_children, b.n_leaves,
+       CAST(b.saved_tokens AS BIGINT) AS saved_tokens, l.ends_sha256
+FROM linked l LEFT JOIN linked p ON p.id = l.parent LEFT JOIN children c ON c.id = l.id JOIN below b ON b.id = l.id
+"""
+
+URL_RULES = r"""
+WITH RECURSIVE rules(verdict, rh, rp) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+rest AS (
+  SELECT page_id, url, html, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS tail FROM pages),
+parts AS (
+  SELECT page_id, url, html, translate(regexp_extract(tail, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(tail, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(tail, '^[^?#]*(\?[^#]*)', 1) AS query
+  FROM rest),
+addressed AS (
+  SELECT *, CASE WHEN host = '' THEN '' ELSE regexp_replace(host, ':(?:80|443)$', '') || CASE WHEN path = '' THEN '/' ELSE path END || query END AS address FROM parts),
+tags AS (
+  SELECT url, address, unnest(regexp_extract_all(regexp_replace(html, '<!--.*?(?:-->|\z)|<script\b.*?(?:</script\b|\z)|<style\b.*?(?:</style\b|\z)|<template\b.*?(?:</template\b|\z)|<textarea\b.*?(?:</textarea\b|\z)', ' ', 'gis'),
+         '<(?:link|meta)\b[^<>]*>', 0, 'i')) AS tag
+  FROM addressed WHERE host <> '' AND regexp_matches(html, 'canonical|http-equiv', 'i')),
+asked AS (
+  SELECT url, address, trim(CASE
+    WHEN tag ILIKE '<link%' AND regexp_matches(tag, '\srel\s*=\s*["'']?(?:[^"''>]*\s)?canonical(?:\s|["''/>])', 'i') THEN regexp_extract(tag, '\shref\s*=\s*["'']?([^\s"''>]*)', 1, 'i')
+    WHEN tag ILIKE '<meta%' AND regexp_matches(tag, '\shttp-equiv\s*=\s*["'']?refresh', 'i') THEN regexp_extract(tag, '\scontent\s*=\s*["'']?[\d.\s]*[;,]\s*(?:url\s*=\s*)?["'']?([^"'']*)', 1, 'i')
+    ELSE '' END) AS link
+  FROM tags),
+targets AS (SELECT address AS a, link AS t FROM asked WHERE regexp_matches(link, '^https?://', 'i')),
+edges AS (
+  SELECT a, translate(regexp_extract(t[strpos(t, '://') + 3:], '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+            || coalesce(nullif(regexp_extract(t[strpos(t, '://') + 3:], '^[^/?#]*([^#]*)', 1), ''), '/') AS b FROM targets),
+edges_both AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach(a, b) AS (SELECT a, b FROM edges_both UNION SELECT r.a, x.b FROM reach r JOIN edges_both x ON x.a = r.b),
+fitted AS (
+  SELECT k.*, r.verdict, r.rh || r.rp AS rule, row_number() OVER (PARTITION BY k.page_id, k.address, k.url ORDER BY length(r.rh || r.rp) DESC NULLS LAST, length(r.rh) DESC) AS pick
+  FROM addressed k LEFT JOIN rules r ON (k.host = r.rh OR ends_with(k.host, '.' || r.rh)) AND starts_with(k.path, r.rp)),
+nodes AS (SELECT DISTINCT b AS node, split_part(b, '/', 1) AS host, '/' || regexp_extract(b, '^[^/]*/([^?]*)', 1) AS path FROM edges_both),
+marked AS (
+  SELECT node, arg_max(verdict, length(rh || rp) * 1000 + length(rh)) AS verdict
+  FROM nodes JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY node),
+fallen AS (
+  SELECT a AS address FROM reach JOIN marked ON node = b GROUP BY a HAVING count(*) FILTER (verdict = 'allow') = 0)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+       coalesce(verdict, CASE WHEN address IN (SELECT address FROM fallen) THEN 'block' ELSE 'allow' END) AS verdict
+FROM fitted WHERE pick = 1
+"""

@@ -13,9 +13,11 @@ from .common import table
 from .curriculum_mix import curriculum_mix, in_training_order
 from .host_boilerplate import main_text
 from .phrase_mining import mine_phrases
+from .prefix_trie import prefix_trie
 from .range_shards import shard_by_ranges
 from .simhash_tiles import near_duplicates
 from .suffix_dedup import remove_repeats
+from .url_rules import judge_urls
 from .va_topk import top_k
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -80,10 +82,22 @@ def op10_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: (verdict, host, path) of the rules that the query applies.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_phrases(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,10 +107,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_suffix_dedup, op2_piece_codec, op3_host_boilerplate, op4_curriculum_mix, op5_context_pii, op6_range_shards, op7_subword_classifier,
-        op8_va_topk, op9_decision_list, op10_simhash_tiles, op12_phrase_mining, pipeline,
+        op8_va_topk, op9_decision_list, op10_simhash_tiles, op11_url_rules, op12_phrase_mining, op13_prefix_trie, pipeline,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_curriculum_mix": oracles.CURRICULUM_MIX, "op8_va_topk": oracles.VA_TOPK, "op12_phrase_mining": oracles.PHRASES}
+    return {"op4_curriculum_mix": oracles.CURRICULUM_MIX, "op8_va_topk": oracles.VA_TOPK, "op11_url_rules": oracles.URL_RULES, "op12_phrase_mining": oracles.PHRASES, "op13_prefix_trie": oracles.PREFIX_TRIE}

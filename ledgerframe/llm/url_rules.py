@@ -44,27 +44,29 @@ _HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|textarea)\b.*?(?:</\1
 _TAG = r"(?i)<(?:link|meta)\b[^<>]*+>"
 
 
-def _after_scheme(url) -> Column:
-    at = F.instr(url, "://")
-    return F.when(at > 0, F.substr(url, at + 3)).otherwise("")
-
+def _let(value, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-def host_of(url) -> Column:
-    """What stands between the first ``://`` and ``/``, ``?``, ``#`` or the end, A-Z lower-cased; else empty."""
-    return F.translate(F.regexp_extract(_after_scheme(url), r"^[^/?#]*", 0), _UPPER, _LOWER)
 
+def parts_of(url) -> Column:
+    """(host, path, address) of a url.
 
-def path_of(url) -> Column:
-    """What follows the host, up to ``?``, ``#`` or the end; else empty."""
-    return F.regexp_extract(_after_scheme(url), r"^[^/?#]*([^?#]*)", 1)
+    The host stands between the first ``://`` and ``/``, ``?``, ``#`` or the end, with
+    A-Z lower-cased; the path follows, up to ``?``, ``#`` or the end; both are empty
+    without ``://``. The address is the host without a default port, the path and
+    the query: equal for urls that lead to one place, empty without a host.
+    """
+    def read(rest) -> Column:
+        host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), _UPPER, _LOWER)
+        return F.struct(host.alias("host"), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1).alias("path"), F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1).alias("query"))
 
+    def whole(p) -> Column:
+        place = F.concat(F.regexp_replace(p["host"], r":(?:80|443)$", ""), F.when(p["path"] == "", "/").otherwise(p["path"]), p["query"])
+        return F.struct(p["host"].alias("host"), p["path"].alias("path"), F.when(p["host"] == "", "").otherwise(place).alias("address"))
 
-def address_of(url) -> Column:
-    """Host without a default port, path and query: equal for urls that lead to one place. Empty without a host."""
-    host = F.regexp_replace(host_of(url), r":(?:80|443)$", "")
-    query = F.regexp_extract(_after_scheme(url), r"^[^?#]*(\?[^#]*)", 1)
-    path = path_of(url)
-    return F.when(host == "", "").otherwise(F.concat(host, F.when(path == "", "/").otherwise(path), query))
+    at = F.instr(url, "://")
+    return _let(_let(F.when(at > 0, F.substr(url, at + 3)).otherwise(""), read), whole)
 
 
 def _fitting(host, path, rule_host, rule_path) -> Column:
@@ -102,44 +104,52 @@ def _attribute(tag, name: str) -> Column:
 
 def resolved(link, url) -> Column:
     """The absolute url of a link on a page; null if it is empty or leads to no web address."""
-    scheme = F.substring_index(url, "://", 1)
-    top = F.concat(scheme, F.lit("://"), F.regexp_extract(_after_scheme(url), r"^[^/?#]*", 0))
-    folder = F.regexp_extract(path_of(url), r"(?s)^.*/", 0)
-    return (
-        F.when((link == "") | F.startswith(link, F.lit("#")) | F.coalesce(host_of(url) == "", F.lit(True)), None)
-        .when(link.rlike(r"(?i)^https?://"), link)
-        .when(link.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), None)
-        .when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link))
-        .when(F.startswith(link, F.lit("/")), F.concat(top, link))
-        .when(F.startswith(link, F.lit("?")), F.concat(top, path_of(url), link))
-        .otherwise(F.concat(top, F.when(folder == "", "/").otherwise(folder), link))
-    )
+    def join(p) -> Column:
+        scheme = F.substring_index(url, "://", 1)
+        top = F.concat(scheme, F.lit("://"), p["host"])
+        folder = F.regexp_extract(p["path"], r"(?s)^.*/", 0)
+        return (
+            F.when((link == "") | F.startswith(link, F.lit("#")) | (p["host"] == ""), None)
+            .when(link.rlike(r"(?i)^https?://"), link)
+            .when(link.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), None)
+            .when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link))
+            .when(F.startswith(link, F.lit("/")), F.concat(top, link))
+            .when(F.startswith(link, F.lit("?")), F.concat(top, p["path"], link))
+            .otherwise(F.concat(top, F.when(folder == "", "/").otherwise(folder), link))
+        )
+
+    return _let(parts_of(url), join)
 
 
 def markup_links(pages: DataFrame, url_col="url", html_col="html") -> DataFrame:
     """Rows of (source, target) urls: a page's canonical links and the redirects of its markup."""
     html, url = F.col(html_col).cast("string"), F.col(url_col).cast("string")
     tags = F.regexp_extract_all(F.regexp_replace(html, _HIDDEN, " "), F.lit(_TAG), F.lit(0))
-    found = pages.where(html.rlike(r"(?i)canonical|http-equiv")).select(url.alias("source"), F.explode(tags).alias("tag"))
-    is_link = F.col("tag").rlike(r"(?i)^<link\b")
-    canonical = is_link & F.array_contains(F.split(F.lower(_attribute(F.col("tag"), "rel")), r"\s+"), "canonical")
-    refresh = ~is_link & (F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh")
-    to = F.when(canonical, _attribute(F.col("tag"), "href")).when(
-        refresh, F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?is)^[\d.\s]*[;,]\s*(?:url\s*=\s*)?[\"']?([^\"']*)", 1)
-    )
-    return found.select("source", F.trim(to, F.lit(" \t\r\n")).alias("link")).where("link <> ''").select("source", resolved(F.col("link"), F.col("source")).alias("target"))
+    marked = r"(?i)^<(?:link\b.*canonical|meta\b.*refresh)"
+    found = pages.where(html.rlike(r"(?i)canonical|http-equiv")).select(url.alias("source"), F.explode(F.filter(tags, lambda t: t.rlike("(?s)" + marked))).alias("tag"))
+
+    def link(tag) -> Column:
+        canonical = tag.rlike(r"(?i)^<link\b") & F.array_contains(F.split(F.lower(_attribute(tag, "rel")), r"\s+"), "canonical")
+        refresh = tag.rlike(r"(?i)^<meta\b") & (F.lower(_attribute(tag, "http-equiv")) == "refresh")
+        to = F.when(canonical, _attribute(tag, "href")).when(
+            refresh, F.regexp_extract(_attribute(tag, "content"), r"(?is)^[\d.\s]*[;,]\s*(?:url\s*=\s*)?[\"']?([^\"']*)", 1)
+        )
+        return F.trim(to, F.lit(" \t\r\n"))
+
+    return found.select("source", _let(_let(F.col("tag"), link), lambda x: resolved(x, F.col("source"))).alias("target"))
 
 
 def alias_groups(links: DataFrame) -> DataFrame:
     """Rows of (address, root) for all addresses that links of (source, target) connect."""
-    edges = links.select(address_of(F.col("source")).alias("a"), address_of(F.col("target")).alias("b")).where("a <> '' and b <> ''")
-    return components(edges).select(F.col("node").alias("address"), "root")
+    address = lambda c: parts_of(F.col(c))["address"]
+    edges = cut(links.where("target IS NOT NULL").select(address("source").alias("a"), address("target").alias("b")))
+    return components(edges.where("a <> '' AND b <> ''")).select(F.col("node").alias("address"), "root")
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col="page_id", url_col="url", html_col: str | None = "html", links: DataFrame | None = None) -> DataFrame:
     """Rows of (page_id, host, path, rule, verdict), one a page; ``verdict`` is the rule's or comes from the page's aliases."""
     url = F.col(url_col).cast("string")
-    named = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), address_of(url).alias("address"))
+    named = cut(pages.select(F.col(id_col).alias("page_id"), parts_of(url).alias("p")).select("page_id", "p.*"))
     judged = with_rules(named, rules)
     known = [] if links is None else [links.select("source", "target")]
     if html_col is not None:
@@ -149,7 +159,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col="
     groups = alias_groups(known[0] if len(known) == 1 else known[0].unionByName(known[1]))
     # an address is the text of a url without its scheme
     where = F.concat(F.lit("x://"), F.col("address"))
-    ruled = with_rules(groups.select("address", "root", host_of(where).alias("host"), path_of(where).alias("path")), rules)
+    ruled = with_rules(groups.select("address", "root", parts_of(where).alias("p")).select("address", "root", "p.host", "p.path"), rules)
     blocked = (
         ruled.groupBy("root").agg(F.count_if(F.col("ruled") == "allow").alias("allows"), F.count_if(F.col("ruled") == "block").alias("blocks"))
         .where("allows = 0 and blocks > 0").select("root")

@@ -25,6 +25,12 @@ def dedupe_accounts(upstream: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def broken_groups(upstream: DataFrame, by: list[str]) -> DataFrame:
+    """Groups that ``dedupe_accounts`` would raise on: two or more accounts, one without an external id or a currency."""
+    lacking = F.col("external_id").isNull() | F.col("currency").isNull()
+    return upstream.groupBy(*by).agg(F.count("*").alias("_n"), F.count_if(lacking).alias("_lacking")).where("_n >= 2 AND _lacking > 0").select(*by)
+
+
 def match_accounts(upstream: DataFrame, stored: DataFrame, by: list[str]) -> DataFrame:
     """Every upstream account with the stored one it is, if any: rows of (by, pos, stored_id, match_type, is_normalized).
 

@@ -7,23 +7,31 @@ where rows of one external id lie in several of them. Components never touch,
 and almost all have at most one row a side, which built-in functions settle. The
 rest is sorted by component and streamed through a matcher that holds one
 component at a time and looks rows up by id and by (day, amount), so its time is
-in proportion to the rows, and no account makes a group.
+in proportion to the rows.
+
+A bank that gives many rows one external id makes a whole account a component.
+Components of more than ``SPLIT_ROWS`` rows are therefore matched in rounds, in
+parts (``_in_rounds``): as long as an id has two or more free upstream rows, a
+stored row of the id takes none but those of its own day, so days do not touch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import cents, signed
-from .graph import components
+from .graph import components, cut
 from .matching import KEYS, stored_in_window
 
 FIELDS = ["row", "external_id", "date", "status", "cents", "raw", "description"]
 OUT = "action string, stored_row string, upstream_row string, date date, how string"
+#: Components with more rows are matched in parts, so many rounds at most; what is left then is matched in one go.
+SPLIT_ROWS, MAX_ROUNDS = 20_000, 25
 COMPARED = ["external_id", "date", "status", "cents", "description"]
 
 
@@ -86,13 +94,15 @@ def match_rows(stored: list[dict], upstream: list[dict], signed_tiebreak: bool =
     """(action, stored row, upstream row, date, how) of rows that may interact, both sides in order.
 
     With ``signed_tiebreak`` the amount test among several equal external ids
-    compares the amounts as given, so an unsigned debit never passes it.
+    compares the amounts as given, so an unsigned debit never passes it. A stored
+    row marked ``many`` is told that its id has several free rows, some of them elsewhere.
     """
     free, out = _Free(upstream), []
     amount = "raw" if signed_tiebreak else "cents"
     for s in stored:
         taken, how = None, None
-        if s["external_id"] is not None and (n := free.size(("id", s["external_id"]))):
+        n = 0 if s["external_id"] is None else 2 if s.get("many") else free.size(("id", s["external_id"]))
+        if n:
             how, day = "external_id", ("id day", s["external_id"], s["date"])
             taken = free.first(("id", s["external_id"])) if n == 1 else free.first((*day, amount, s["cents"]))
             if taken is None:
@@ -121,10 +131,10 @@ def interacting(upstream: DataFrame, stored: DataFrame) -> DataFrame:
     A hash names a class of day and amount; classes that clash only make a component larger.
     """
     both = upstream.unionByName(stored).withColumn("spot", F.xxhash64(*KEYS, "cents", "date"))
-    links = (
-        both.where("external_id IS NOT NULL").groupBy(*KEYS, "external_id").agg(F.min("spot").alias("b"), F.collect_set("spot").alias("spots"))
-        .where(F.size("spots") > 1).select(F.explode("spots").alias("a"), "b").where("a <> b").distinct()
-    )
+    held = both.where("external_id IS NOT NULL").select(*KEYS, "external_id", "spot").distinct()
+    links = cut(held.withColumn("b", F.min("spot").over(Window.partitionBy(*KEYS, "external_id"))).where("spot <> b").select(F.col("spot").alias("a"), "b").distinct())
+    if links.isEmpty():
+        return both.withColumnRenamed("spot", "part")
     roots = components(links).select(F.col("node").alias("spot"), "root")
     return both.join(roots, "spot", "left").withColumn("part", F.coalesce("root", "spot")).drop("root", "spot")
 
@@ -167,18 +177,38 @@ def reconcile_default(upstream: DataFrame, stored: DataFrame, signed_tiebreak: b
     whole = F.struct(*FIELDS)
     pairs = counted.where(single).groupBy(*KEYS, "part").agg(F.max(F.when(is_up, whole)).alias("u"), F.max(F.when(~is_up, whole)).alias("s"))
 
+    several = counted.where(~lone & ~single).select(*KEYS, "part", "side", "first", "second", *FIELDS, (F.col("n_up") + F.col("n_st") > SPLIT_ROWS).alias("large"))
+    small = _matched(several.where("NOT large").withColumn("many", F.lit(False)), ["part"], signed_tiebreak).select(*KEYS, *_NAMES)
+    large = cut(several.where("large").drop("large"))
+    done = alone.unionByName(_settle_pairs(pairs)).unionByName(small)
+    return done if large.isEmpty() else done.unionByName(_in_rounds(large, signed_tiebreak))
+
+
+_NAMES = [x.split()[0] for x in OUT.split(", ")]
+
+
+def _matched(rows: DataFrame, group: list[str], signed_tiebreak: bool) -> DataFrame:
+    """Rows streamed through ``match_rows``, one group of an account at a time.
+
+    Each instruction comes with the place (``first``, ``second``) of its stored row
+    and with the external id of the upstream row it took (``took``).
+    """
+    keys = [*KEYS, *group]
+
     def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, sides, done = None, {"stored": [], "upstream": []}, []
 
         def settle() -> None:
             if key is not None:
-                done.extend((key[0], key[1], *x) for x in match_rows(sides["stored"], sides["upstream"], signed_tiebreak))
+                places = {r["row"]: (r["first"], r["second"]) for r in sides["stored"]}
+                took = {r["row"]: r["external_id"] for r in sides["upstream"]}
+                done.extend((*key, *x, *places.get(x[1], (None, None)), took.get(x[2]) if x[1] is not None else None) for x in match_rows(sides["stored"], sides["upstream"], signed_tiebreak))
 
-        names = [*KEYS, *(x.split()[0] for x in OUT.split(", "))]
+        names = [*keys, *_NAMES, "first", "second", "took"]
         for frame in frames:
             frame["external_id"] = frame["external_id"].astype(object).where(frame["external_id"].notna(), None)
             for row in frame.to_dict("records"):
-                own = row["user_id"], row["account_id"], row["part"]
+                own = tuple(row[k] for k in keys)
                 if own != key:
                     settle()
                     key, sides = own, {"stored": [], "upstream": []}
@@ -188,10 +218,64 @@ def reconcile_default(upstream: DataFrame, stored: DataFrame, signed_tiebreak: b
         settle()
         yield pd.DataFrame(done, columns=names)
 
-    several = counted.where(~lone & ~single).select(*KEYS, "part", "side", "first", "second", *FIELDS)
-    ordered = several.repartition(*KEYS, "part").sortWithinPartitions(*KEYS, "part", "side", "first", "second")
-    keys = ", ".join(f"{k} {upstream.schema[k].dataType.simpleString()}" for k in KEYS)
-    return alone.unionByName(_settle_pairs(pairs)).unionByName(ordered.mapInPandas(match, f"{keys}, {OUT}"))
+    ordered = rows.select(*keys, "side", "first", "second", *FIELDS, "many").repartition(*keys).sortWithinPartitions(*keys, "side", "first", "second")
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return ordered.mapInPandas(match, f"{kinds}, {OUT}, first long, second string, took string")
+
+
+def _in_rounds(rows: DataFrame, signed_tiebreak: bool) -> DataFrame:
+    """Instructions of large components (keys, ``part``), each matched in smaller parts at once, round by round.
+
+    An id with two or more free upstream rows is taken to keep that many: its
+    stored rows then look at their own day only. Of an id with one free row only
+    the first stored row can take it by id; of an id with none, none can. So rows
+    touch within a day, or where one id's last row lies. Afterwards takes are
+    counted in order: once all but one of an id's rows are taken, the next stored
+    row of that id was told wrong. What comes before the first such row of a
+    component stands; from it on the component goes into the next round, where that
+    id is down to its last row. An id is spent so once, and a round costs a few
+    shuffles of what is left.
+    """
+    group = [*KEYS, "part"]
+    place = F.struct("first", "second")
+    everything, settled = rows, []
+    for n in range(MAX_ROUNDS + 1):
+        last = n == MAX_ROUNDS
+        ids = rows.where("external_id IS NOT NULL").groupBy(*group, "external_id").agg(
+            F.count_if(F.col("side") == "upstream").alias("free"), F.min(F.when(F.col("side") == "stored", place)).alias("head")
+        )
+        known = rows.join(ids, [*group, "external_id"], "left").withColumn("many", (F.coalesce("free", F.lit(0)) >= 2) & F.lit(not last))
+        if last:
+            done = cut(_matched(known, ["part"], signed_tiebreak))
+        else:
+            spotted = cut(known.withColumn("spot", F.xxhash64(*group, "cents", "date")))
+            own_day = spotted.where("many").select(*group, "external_id", F.col("date").cast("string").alias("near"), "spot")
+            is_head = (F.col("side") == "stored") & (place == F.col("head"))
+            last_row = spotted.where("free = 1").where((F.col("side") == "upstream") | is_head).select(*group, "external_id", F.lit("").alias("near"), "spot")
+            near = own_day.unionByName(last_row).distinct()
+            links = near.withColumn("b", F.min("spot").over(Window.partitionBy(*group, "external_id", "near"))).where("spot <> b").select(F.col("spot").alias("a"), "b").distinct()
+            roots = components(links).select(F.col("node").alias("spot"), "root")
+            done = cut(_matched(spotted.join(roots, "spot", "left").withColumn("sub", F.coalesce("root", "spot")), ["part", "sub"], signed_tiebreak).where("stored_row IS NOT NULL"))
+        if last:
+            wrong = None
+        else:
+            takes = done.where("upstream_row IS NOT NULL AND took IS NOT NULL AND NOT (action = 'DELETE' AND how = 'moved')")
+            counted = takes.withColumn("nth", F.row_number().over(Window.partitionBy(*group, "took").orderBy("first", "second")))
+            spent = counted.join(ids.where("free >= 2").select(*group, F.col("external_id").alias("took"), "free"), [*group, "took"]).where("nth = free - 1").select(*group, F.col("took").alias("external_id"), place.alias("spent"))
+            told = rows.where("side = 'stored'").join(spent, [*group, "external_id"]).where(place > F.col("spent"))
+            wrong = cut(told.groupBy(*group).agg(F.min(place).alias("wrong")))
+        if wrong is None or wrong.isEmpty():
+            settled.append(done.where("stored_row IS NOT NULL"))
+            break
+        settled.append(cut(done.join(wrong, group, "left").where(F.col("wrong").isNull() | (place < F.col("wrong"))).drop("wrong")))
+        gone = settled[-1].where("upstream_row IS NOT NULL").select(*KEYS, F.lit("upstream").alias("side"), F.col("upstream_row").alias("row")).distinct()
+        open_rows = (F.col("side") == "upstream") | (place >= F.col("wrong"))
+        rows = cut(rows.join(wrong, group).where(open_rows).join(gone, [*KEYS, "side", "row"], "left_anti").select(*rows.columns))
+    every = reduce(lambda a, b: a.unionByName(b), (x.select(*KEYS, *_NAMES) for x in settled))
+    taken = every.where("upstream_row IS NOT NULL").select(*KEYS, F.col("upstream_row").alias("row")).distinct()
+    fresh = everything.where("side = 'upstream'").join(taken, [*KEYS, "row"], "left_anti")
+    none = F.lit(None).cast("string")
+    return every.unionByName(fresh.select(*KEYS, F.lit("INSERT").alias("action"), none.alias("stored_row"), F.col("row").alias("upstream_row"), "date", none.alias("how")))
 
 
 def reconcile_delta(upstream: DataFrame) -> DataFrame:

@@ -123,17 +123,38 @@ def match_on_equality(rows: DataFrame, stage: Stage, applies: Column | None = No
     }).select(*rows.columns)
 
 
-def pruned(stored: DataFrame, upstream: DataFrame) -> DataFrame:
-    """Stored rows that any account's window can hold: one literal bound, which reaches the scan.
+#: Accounts with windows that begin long before the others' and are read by name.
+OUTLIERS = 500
 
-    It costs one aggregate over what came in and saves reading older files and months.
+
+def pruned(stored: DataFrame, upstream: DataFrame, outliers: int = OUTLIERS) -> DataFrame:
+    """Stored rows that any account's window can hold: literal bounds, which reach the scan.
+
+    Windows are counted by the month they begin in. Most accounts share a bound;
+    up to ``outliers`` accounts whose windows begin before it are read by name, so
+    that one back-dated row does not open the old months of all accounts. Costs one
+    aggregate over what came in. Without upstream rows nothing is read.
     """
-    first = upstream.agg(F.date_sub(F.to_date(F.min("ts")), 1)).first()[0]
-    if first is None:
-        return stored
+    begins = upstream.groupBy(*KEYS).agg(F.date_sub(F.to_date(F.min("ts")), 1).alias("_from")).where("_from IS NOT NULL")
+    months = begins.groupBy(F.date_trunc("month", "_from").cast("date").alias("m")).agg(F.count("*").alias("n"), F.min("_from").alias("first")).orderBy("m").collect()
+    if not months:
+        return stored.limit(0)
+    before, at = 0, 0
+    while at + 1 < len(months) and before + months[at].n <= outliers:
+        before, at = before + months[at].n, at + 1
+    shared, first = months[at].first, months[0].first
+    by_month = lambda day: F.col("month") >= day.strftime("%Y-%m")
+    if at == 0:
+        near = stored.where(by_month(shared)) if "month" in stored.columns else stored
+        return near.where(F.col("date") >= F.lit(shared))
+    named = begins.where(F.col("_from") < F.lit(shared)).select(*KEYS).collect()
+    old = F.lit(True)
+    for key in KEYS:
+        old = old & F.col(key).isin(sorted({r[key] for r in named}))
+    recent, older = stored.where(F.col("date") >= F.lit(shared)), stored.where((F.col("date") < F.lit(shared)) & (F.col("date") >= F.lit(first)) & old)
     if "month" in stored.columns:
-        stored = stored.where(F.col("month") >= first.strftime("%Y-%m"))
-    return stored.where(F.col("date") >= F.lit(first))
+        recent, older = recent.where(by_month(shared)), older.where(by_month(first) & (F.col("month") <= shared.strftime("%Y-%m")))
+    return recent.unionByName(older)
 
 
 def _number(external_id: str = "external_id") -> Column:
@@ -277,3 +298,27 @@ def oldest_change(instructions: DataFrame) -> DataFrame:
 def match_report(rows: DataFrame) -> DataFrame:
     """Counts per account, matcher, side and reason."""
     return rows.groupBy(*KEYS, F.coalesce("matcher", F.lit("none")).alias("matcher"), "side", "reason").agg(F.count("*").alias("n"))
+
+
+#: Rows that a report shows of each of its groups.
+SAMPLE_ROWS = 5
+
+
+def match_report_samples(rows: DataFrame, k: int = SAMPLE_ROWS, seed: int = 42) -> DataFrame:
+    """The counts of ``match_report`` with up to ``k`` of each group's rows: those of the lowest hashes, in their order.
+
+    Hashes are counted by their number of bits, at most 61 counts a group and task;
+    only rows of the shortest lengths that hold k rows are gathered, a few times k
+    whatever the group's size. The same rows are shown on every run.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "row"))
+    shown = F.struct(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("h"), "row", "external_id", "cents", "date", "booking_date", "description")
+    group = [*KEYS, "matcher", "side", "reason"]
+    marked = rows.withColumn("matcher", F.coalesce("matcher", F.lit("none"))).select(*group, shown.alias("s")).withColumn("bits", F.length(F.bin("s.h")))
+    cells = marked.groupBy(*group, "bits").agg(F.count("*").alias("n"))
+    rising = Window.partitionBy(*group).orderBy("bits")
+    needed = cells.withColumn("before", F.sum("n").over(rising) - F.col("n")).where(F.col("before") < k)
+    totals = cells.groupBy(*group).agg(F.sum("n").alias("n"))
+    few = marked.join(needed.select(*group, "bits"), [*group, "bits"], "left_semi")
+    samples = few.groupBy(*group).agg(F.slice(F.array_sort(F.collect_list("s")), 1, k).alias("sample"))
+    return totals.join(samples, group).select(*group, "n", F.transform("sample", lambda s: s.dropFields("h")).alias("sample"))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 TXN_KEYS = ["user_id", "account_id", "date", "id"]
 
 
@@ -43,6 +45,37 @@ def apply_instructions(stored: DataFrame, instructions: DataFrame, keys: list[st
     return stored.join(deletes, keys, "left_anti").join(new.select(*keys), keys, "left_anti").unionByName(new.select(*stored.columns))
 
 
+def keyed_changes(stored: DataFrame, instructions: DataFrame, keys: list[str] = TXN_KEYS) -> DataFrame:
+    """One row a key that instructions touch: (keys, deleted, old, new), from one pass over both sides.
+
+    ``old`` is the stored row and ``new`` the row after an insert or update (an
+    update counts over an insert), each a struct of the other columns, or null.
+    Everything that follows from the instructions is read off these rows: the
+    next snapshot, the change feed, and the enrichments that go.
+    """
+    values = [c for c in stored.columns if c not in keys]
+    row = F.struct(*values)
+    put = F.col("action").isin("INSERT", "UPDATE")
+    asked = instructions.where("action <> 'IGNORE'").select(
+        *keys, row.alias("row"), F.lit(False).alias("_stored"), (F.col("action") == "DELETE").alias("_gone"), F.when(put, F.when(F.col("action") == "UPDATE", 2).otherwise(1)).alias("_put"),
+    )
+    held = stored.join(asked.select(*keys).distinct(), keys, "left_semi").select(
+        *keys, row.alias("row"), F.lit(True).alias("_stored"), F.lit(False).alias("_gone"), F.lit(None).cast("int").alias("_put"),
+    )
+    found = held.unionByName(asked).groupBy(*keys).agg(
+        F.bool_or("_gone").alias("deleted"), F.max_by(F.when(F.col("_stored"), F.col("row")), F.when(F.col("_stored"), F.lit(1))).alias("old"), F.max_by(F.when(F.col("_put").isNotNull(), F.col("row")), "_put").alias("new"),
+    )
+    if "created_at" in values:
+        found = found.withColumn("new", F.when(F.col("new").isNotNull(), F.col("new").withField("created_at", F.coalesce("old.created_at", "new.created_at"))))
+    return found
+
+
+def instruction_change(changes: DataFrame, columns: list[str], keys: list[str] = TXN_KEYS) -> tuple[DataFrame, DataFrame]:
+    """(rows to put, keys to remove) of keyed changes; a key that is deleted and written again is put."""
+    puts = changes.where("new IS NOT NULL").select(*keys, "new.*").select(*columns)
+    return puts, changes.where("deleted AND new IS NULL").select(*keys)
+
+
 def touched_months(instructions: DataFrame, date_col: str = "date") -> list[str]:
     """The months that inserts, updates and deletes fall in; a handful whatever the number of instructions."""
     changes = instructions.where("action <> 'IGNORE'").select(F.date_format(date_col, "yyyy-MM").alias("month"))
@@ -91,6 +124,26 @@ def apply_cycles(local: DataFrame, changes: DataFrame) -> DataFrame:
     return local.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
+def latest_cycles(local: DataFrame, messages: DataFrame, order: list[str]) -> DataFrame:
+    """Cycles of the users of a batch of cycle messages, as if the messages were applied one after another.
+
+    ``messages`` has one row a message: user_id, the columns of ``order`` and
+    ``cycles``, an array of structs with cycle_id and the other columns of
+    ``local``. A message replaces all of its user's cycles: what the last one lists
+    is live, everything else known of the user is expired, with the values that
+    were seen last. One grouping by user and cycle, whatever the number of messages.
+    """
+    keys = ["user_id", "cycle_id"]
+    values = [c for c in local.columns if c not in (*keys, "expired")]
+    place = F.struct(F.lit(1).alias("came"), *order)
+    ends = messages.groupBy("user_id").agg(F.max(place).alias("_end"))
+    listed = messages.select("user_id", place.alias("_at"), F.explode("cycles").alias("c")).select("user_id", "c.cycle_id", "_at", F.struct(*(F.col(f"c.{c}").alias(c) for c in values)).alias("v"))
+    before = F.struct(F.lit(0).alias("came"), *(F.lit(None).cast(messages.schema[c].dataType).alias(c) for c in order))
+    mine = local.join(ends.select("user_id"), "user_id", "left_semi").select(*keys, before.alias("_at"), F.struct(*values).alias("v"))
+    seen = mine.unionByName(listed).groupBy(*keys).agg(F.max("_at").alias("_last"), F.max_by("v", "_at").alias("v"))
+    return seen.join(ends, "user_id").select(*keys, "v.*", (~F.col("_last").eqNullSafe(F.col("_end"))).alias("expired")).select(*local.columns)
+
+
 def delete_cascade(targets: DataFrame, accounts: DataFrame, txns: DataFrame, enrichments: DataFrame, cycles: DataFrame) -> dict[str, DataFrame]:
     """What goes with accounts (columns of ``targets``: user_id and, as wanted, user_site_id or id): the
     accounts, their transactions and enrichments, and the cycles that those enrichments point at."""
@@ -140,6 +193,26 @@ def sync_delete_pending(a: DataFrame, b: DataFrame, done: DataFrame | None = Non
     return only.join(guard, keys, "left_semi")
 
 
+def sync_run(a: DataFrame, b: DataFrame, done: DataFrame, limit: int | None = None, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
+    """One run of the sync job: (pending rows of A to delete, users that are through after it).
+
+    The users of B that ``done`` (user_id) does not have are taken in the order of
+    a hash of their ids, at most ``limit``, so that runs cut off anywhere go on
+    where the last one ended. A dry run looks at all users, those that are through
+    included, and none is through after it; what it returns would be deleted.
+    """
+    users = b.select("user_id").distinct()
+    if not dry_run:
+        users = users.join(done.select("user_id"), "user_id", "left_anti")
+        if limit is not None:
+            users = users.orderBy(F.xxhash64("user_id"), "user_id").limit(limit)
+    users = cut(users)
+    mine = lambda df: df.join(users, "user_id", "left_semi")
+    compared = mine(b).select("user_id", "account_id").distinct()
+    gone = sync_delete_pending(mine(a).join(compared, ["user_id", "account_id"], "left_semi"), mine(b))
+    return gone, users.limit(0) if dry_run else users
+
+
 def set_hidden(accounts: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accounts with the flag set, and the users whose whole request fails for a missing or unknown account id."""
     asked = updates.select("user_id", F.col("account_id").alias("id"), F.col("hidden").alias("_hidden"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from datetime import date, timedelta
 
@@ -11,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 PAGE_SIZE = 100
 
 
@@ -109,22 +112,93 @@ def normal_search(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-def merchant_suggest(queries: DataFrame, merchants: DataFrame, k: int = 10) -> DataFrame:
+#: Search terms in a block of the prefix index.
+BLOCK_TERMS = 100_000
+_AFTER_ALL = "\U0010ffff"
+
+
+@dataclass(frozen=True)
+class PrefixIndex:
+    """Search terms in sorted blocks: rows of (block, country, term, merchant_name), and the first (country, term) of each block."""
+
+    terms: DataFrame
+    bounds: list[tuple[str, str]]
+
+
+def prefix_index(merchants: DataFrame, block_terms: int = BLOCK_TERMS) -> PrefixIndex:
+    """Sorts the merchants' search terms into blocks by country and term.
+
+    Merchants (country, merchant_name, search_term, direct) have direct names and
+    other spellings; of equal search terms the direct one counts, then the first
+    by name. One bound a block comes to the driver.
+    """
+    normal = F.pandas_udf(normal_search, "string")
+    spelled = merchants.select("country", "merchant_name", _search_form("search_term", normal).alias("term"), "direct").where("country IS NOT NULL AND term IS NOT NULL")
+    best = F.min_by("merchant_name", F.struct((~F.col("direct")).alias("other"), "merchant_name"))
+    terms = cut(spelled.groupBy("country", "term").agg(best.alias("merchant_name")))
+    blocks = max(1, -(-terms.count() // block_terms))
+    placed = cut(terms.repartitionByRange(blocks, "country", "term").withColumn("block", F.spark_partition_id()))
+    first = placed.groupBy("block").agg(F.min(F.struct("country", "term")).alias("b")).orderBy("b").collect()
+    # numbered anew, as a range may be empty
+    order = {r.block: i for i, r in enumerate(first)}
+    number = F.element_at(F.create_map(*(F.lit(x) for pair in order.items() for x in pair)), F.col("block")) if order else F.col("block")
+    return PrefixIndex(placed.withColumn("block", number), [(r.b.country, r.b.term) for r in first])
+
+
+def _search_form(column: str, normal) -> F.Column:
+    """``normal_search`` of a column; plain ASCII without symbols goes by built-in functions."""
+    plain = F.lower(F.col(column))
+    return F.when(F.col(column).rlike(r"^[A-Za-z0-9 .,;:!?'\"&%#@/*-]*$"), plain).otherwise(normal(F.when(~F.col(column).rlike(r"^[A-Za-z0-9 .,;:!?'\"&%#@/*-]*$"), F.col(column))))
+
+
+def merchant_suggest(queries: DataFrame, merchants: DataFrame | PrefixIndex, k: int = 10, adjusted: DataFrame | None = None) -> DataFrame:
     """Up to k merchants a query (query_id, country, text), by normalised prefix.
 
-    Merchants have direct names and other spellings (direct false); of equal
-    search terms the direct one counts. The first k distinct merchants in the
-    order of their terms are returned, numbered by name.
+    Each distinct prefix goes to the blocks of the index that its range of terms
+    meets: its own, and further ones only while blocks begin with the prefix. A
+    block gives the first k merchants of a prefix, so the rows that are joined grow
+    with the queries and their answers. The first k distinct merchants in the order
+    of their terms are returned, numbered by name. An empty text asks for the names
+    that the query's ``user_id`` has given before (``adjusted``: user_id, nth,
+    counterparty_name), all of them in their order; a text of signs only matches all.
     """
+    index = merchants if isinstance(merchants, PrefixIndex) else prefix_index(merchants)
     normal = F.pandas_udf(normal_search, "string")
-    asked = queries.select("query_id", "country", normal("text").alias("prefix")).where("prefix <> ''")
-    once = Window.partitionBy("country", "term").orderBy(F.col("direct").desc(), "merchant_name")
-    terms = merchants.select("country", "merchant_name", normal("search_term").alias("term"), "direct").withColumn("_n", F.row_number().over(once)).where("_n = 1")
-    # Joined by country and first letter: a prefix has the first letter of what it begins.
-    hits = asked.withColumn("letter", F.substring("prefix", 1, 1)).join(terms.withColumn("letter", F.substring("term", 1, 1)), ["country", "letter"]).where(F.startswith("term", "prefix"))
-    first = hits.groupBy("query_id", "merchant_name").agg(F.min("term").alias("term"))
-    by_term, by_name = Window.partitionBy("query_id").orderBy("term", "merchant_name"), Window.partitionBy("query_id").orderBy("merchant_name")
-    return first.withColumn("_n", F.row_number().over(by_term)).where(F.col("_n") <= k).withColumn("rank", F.row_number().over(by_name)).select("query_id", "rank", "merchant_name")
+    asked = queries.where("text <> ''").withColumn("prefix", _search_form("text", normal))
+    firsts = index.bounds
+
+    def place(country: pd.Series, prefix: pd.Series) -> pd.Series:
+        pairs = zip(country, prefix, strict=True)
+        return pd.Series([list(range(max(0, bisect_right(firsts, (c, p)) - 1), bisect_right(firsts, (c, p + _AFTER_ALL)))) for c, p in pairs])
+
+    wanted = asked.select("country", "prefix").where("country IS NOT NULL").distinct()
+    wanted = wanted.withColumn("block", F.explode(F.pandas_udf(place, "array<int>")("country", "prefix")))
+
+    def look_up(terms: pd.DataFrame, prefixes: pd.DataFrame) -> pd.DataFrame:
+        terms = terms.sort_values(["country", "term"])
+        keys, names = list(zip(terms["country"], terms["term"], strict=True)), terms["merchant_name"].tolist()
+        found = []
+        for country, prefix in zip(prefixes["country"], prefixes["prefix"], strict=True):
+            seen: set[str] = set()
+            for at in range(bisect_left(keys, (country, prefix)), len(keys)):
+                if len(seen) == k or keys[at][0] != country or not keys[at][1].startswith(prefix):
+                    break
+                if names[at] not in seen:
+                    seen.add(names[at])
+                    found.append((country, prefix, keys[at][1], names[at]))
+        return pd.DataFrame(found, columns=["country", "prefix", "term", "merchant_name"])
+
+    met = index.terms.join(wanted.select("block").distinct(), "block", "left_semi")
+    hits = met.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(look_up, "country string, prefix string, term string, merchant_name string")
+    first = hits.groupBy("country", "prefix", "merchant_name").agg(F.min("term").alias("term"))
+    by_term, by_name = Window.partitionBy("country", "prefix").orderBy("term", "merchant_name"), Window.partitionBy("country", "prefix").orderBy("merchant_name")
+    answers = first.withColumn("_n", F.row_number().over(by_term)).where(F.col("_n") <= k).withColumn("rank", F.row_number().over(by_name))
+    found = asked.join(answers, ["country", "prefix"]).select("query_id", "rank", "merchant_name")
+    if adjusted is None:
+        return found
+    names = adjusted.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy("nth", "counterparty_name")))
+    own = queries.where("text IS NULL OR text = ''").join(names, "user_id").select("query_id", "rank", F.col("counterparty_name").alias("merchant_name"))
+    return found.unionByName(own)
 
 
 def group_similar(groups: DataFrame) -> DataFrame:

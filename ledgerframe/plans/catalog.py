@@ -45,11 +45,18 @@ def _as_text(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(name).cast(to(kind)).alias(name) if to(kind) != kind else F.col(name) for name, kind in df.dtypes))
 
 
+def _with_flows() -> None:
+    from . import flows, served  # noqa: F401  they register their queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _with_flows()
     return {name: (lambda spark, sf_dir, f=f: _as_text(f(Fixtures(spark, sf_dir)))) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    _with_flows()
+
     def plain(name: str, sql: str) -> str:
         money = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _MONEY.get(name, ()))
         return f"SELECT * REPLACE ({money}) FROM ({with_views(sql)}) answer" if money else with_views(sql)
@@ -61,8 +68,8 @@ def oracle_sql() -> dict[str, str]:
 
 _SIDES = """
 up AS (SELECT user_id, account_id, CAST(pos AS VARCHAR) AS row, external_id, date, status, booking_date, ts, description,
-  CAST(round(CASE WHEN type = 'DEBIT' THEN -amount ELSE amount END, 2) * 100 AS BIGINT) AS cents FROM fx_upstream WHERE date >= DATE '1998-01-01'),
-st AS (SELECT user_id, account_id, id AS row, external_id, date, status, booking_date, ts, description, CAST(round(amount, 2) * 100 AS BIGINT) AS cents FROM fx_stored WHERE date >= DATE '1998-01-01')"""
+  CAST(round(CASE WHEN type = 'DEBIT' THEN -amount ELSE amount END, 2) * 100 AS BIGINT) AS cents FROM fx_upstream),
+st AS (SELECT user_id, account_id, id AS row, external_id, date, status, booking_date, ts, description, CAST(round(amount, 2) * 100 AS BIGINT) AS cents FROM fx_stored)"""
 
 _ONE_STAGE = f"""
 WITH {_SIDES},
@@ -77,9 +84,7 @@ r AS (
 
 
 def _sides(fx: Fixtures) -> DataFrame:
-    up = fx.upstream.where("date >= DATE '1998-01-01'")
-    st = fx.stored.where("date >= DATE '1998-01-01'")
-    return matching.unmatched(matching.generalize(up, "upstream"), matching.generalize(st, "stored"))
+    return matching.unmatched(matching.generalize(fx.upstream, "upstream"), matching.generalize(fx.stored, "stored"))
 
 
 @query("p2_generalize", f"WITH {_SIDES} SELECT 'upstream' AS side, account_id, row, cents, external_id, CAST(booking_date AS VARCHAR) AS booking_date FROM up UNION ALL SELECT 'stored', account_id, row, cents, external_id, CAST(booking_date AS VARCHAR) FROM st")

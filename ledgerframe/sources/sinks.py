@@ -18,6 +18,13 @@ def offload_envelopes(df: DataFrame, kind: str, delete: Column | bool = False) -
     return df.select(F.col("user_id").cast("string").alias("key"), F.to_json(envelope).alias("value"))
 
 
+def change_envelopes(changes: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """The change feed of ``merges.keyed_changes``: a delete for each stored row that goes, then what is written."""
+    rows = lambda side, test: changes.where(test).select(*keys, f"{side}.*").select(*columns)
+    gone, written = rows("old", "deleted AND old IS NOT NULL"), rows("new", "new IS NOT NULL")
+    return offload_envelopes(gone, "transaction", True).unionByName(offload_envelopes(written, "transaction"))
+
+
 def delete_envelopes(gone: dict[str, DataFrame]) -> DataFrame:
     """The change feed of a cascade of deletes: an envelope for each account and transaction that goes."""
     return offload_envelopes(gone["accounts"], "account", True).unionByName(offload_envelopes(gone["transactions"], "transaction", True))

@@ -1,4 +1,4 @@
-"""Streams: ingestion, enrichment merges, completion and time-out of activities, deletions."""
+"""Streams of enrichment merges and of the completion and time-out of activities."""
 
 from __future__ import annotations
 
@@ -150,26 +150,3 @@ def enrichment_stream(
         save(merge_enrichments(load(), enrichment_rows(known)))
 
     return messages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-
-
-def ingest_stream(refreshes: DataFrame, apply: Callable[[DataFrame], None], checkpoint: str, trigger: dict | None = None):
-    """Applies refreshes in rounds, so that two refreshes of one user-site in a micro-batch keep their order."""
-    def rounds(batch: DataFrame, _: int) -> None:
-        # Activity ids are random: where the source tells when a message came, that is the order.
-        came = [c for c in ("offset", "received", "timestamp") if c in batch.columns]
-        order = Window.partitionBy("userId", "userSiteId").orderBy(*came, "activityId")
-        ranked = batch.withColumn("_round", F.dense_rank().over(order)).persist()
-        last = ranked.agg(F.max("_round")).first()[0] or 0
-        for n in range(1, last + 1):
-            apply(ranked.where(F.col("_round") == n).drop("_round"))
-        ranked.unpersist()
-
-    return refreshes.writeStream.foreachBatch(rounds).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-
-
-def deletion_stream(events: DataFrame, apply: Callable[[DataFrame], None], checkpoint: str, trigger: dict | None = None):
-    """Runs the deletion of user-sites for DELETE_USER_SITE events (user_id, user_site_id, payload_type)."""
-    def delete(batch: DataFrame, _: int) -> None:
-        apply(batch.where("payload_type = 'DELETE_USER_SITE'").select("user_id", "user_site_id").distinct())
-
-    return events.writeStream.foreachBatch(delete).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -1,13 +1,14 @@
 """The default strategy against a plain loop over each account's rows in order."""
 
 import random
-from datetime import datetime
+from datetime import date, datetime, timedelta
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 from test_matching import ST, UP, day, greedy_actions, st, up
 
-from ledgerframe.operators import greedy
+from ledgerframe.operators import greedy, matching
 from ledgerframe.operators.graph import components
 
 
@@ -86,3 +87,61 @@ def test_components_of_chains(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 99), (101, 99), (7, 7)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {k: 0 for k in range(41)} | {99: 99, 100: 99, 101: 99}
+
+
+def _account(rng, n, ids, days, amounts):
+    day = lambda: date(2021, 3, 1) + timedelta(days=rng.randrange(days))
+    ext = lambda: rng.choice(ids)
+    up = [(1, 7, k, ext(), day(), rng.choice(["BOOKED", "PENDING"]), "CREDIT", rng.randrange(1, amounts), rng.choice("xy")) for k in range(n)]
+    st = [(1, 7, f"{k:05d}", ext(), day(), rng.choice(["BOOKED", "BOOKED", "PENDING"]), rng.randrange(1, amounts), rng.choice("xy")) for k in range(rng.randrange(n // 2, n + n // 2))]
+    return up, st
+
+
+def _frames(spark, up, st):
+    ts = F.date_trunc("day", F.lit("2021-03-01").cast("timestamp_ntz"))
+    upstream = spark.createDataFrame(up, "user_id long, account_id long, pos long, external_id string, date date, status string, type string, amount long, description string").withColumn("ts", ts)
+    stored = spark.createDataFrame(st, "user_id long, account_id long, id string, external_id string, date date, status string, amount long, description string").withColumn("ts", F.col("date").cast("timestamp_ntz"))
+    money = F.col("amount").cast("decimal(18,2)")
+    return upstream.withColumn("amount", money), stored.withColumn("amount", money)
+
+
+def _looped(upstream, stored):
+    up = [r.asDict() for r in greedy._prepared(upstream, "upstream").orderBy("first", "second").collect()]
+    st = [r.asDict() for r in greedy._prepared(stored, "stored").orderBy("first", "second").collect()]
+    return sorted(map(repr, greedy.match_rows(st, up)))
+
+
+@pytest.mark.parametrize(("seed", "ids"), [(1, ["a"]), (2, ["a", "b", None]), (3, ["a", "a", "a", "b", "c", None, None]), (4, list("abcdefgh"))])
+def test_large_components_in_rounds_give_the_plain_result(spark, monkeypatch, seed, ids):
+    monkeypatch.setattr(greedy, "SPLIT_ROWS", 0)
+    rng = random.Random(seed)
+    upstream, stored = _frames(spark, *_account(rng, 60, ids, 6, 5))
+    want = _looped(upstream, stored)
+    columns = ["action", "stored_row", "upstream_row", "date", "how"]
+    assert sorted(repr(tuple(r)) for r in greedy.reconcile_default(upstream, stored).select(columns).collect()) == want
+    monkeypatch.setattr(greedy, "MAX_ROUNDS", 1)
+    assert sorted(repr(tuple(r)) for r in greedy.reconcile_default(upstream, stored).select(columns).collect()) == want
+
+
+def test_one_id_for_a_whole_account_is_matched_in_several_tasks(spark, monkeypatch):
+    rng = random.Random(9)
+    upstream, stored = _frames(spark, *_account(rng, 12_000, ["same"], 400, 50))
+    groups = []
+    plain = greedy._matched
+    monkeypatch.setattr(greedy, "SPLIT_ROWS", 1000)
+    monkeypatch.setattr(greedy, "_matched", lambda rows, group, signed: groups.append((group, rows)) or plain(rows, group, signed))
+    got = sorted(repr(tuple(r)) for r in greedy.reconcile_default(upstream, stored).select("action", "stored_row", "upstream_row", "date", "how").collect())
+    assert got == _looped(upstream, stored)
+    parts = next(rows for group, rows in groups if group == ["part", "sub"])
+    sizes = parts.groupBy("sub").count().agg(F.count("*").alias("n"), F.max("count").alias("most")).first()
+    assert sizes.n >= 300 and sizes.most < 200
+
+
+def test_windows_are_pruned_by_account(spark):
+    begin = lambda a, year: (1, a, datetime(year, 5, 2))
+    upstream = spark.createDataFrame([begin(a, 2021) for a in range(20)] + [begin(99, 2001)], "user_id long, account_id long, ts timestamp_ntz")
+    stored = spark.createDataFrame([(1, a, date(y, 6, 1)) for a in [*range(20), 99] for y in (2001, 2011, 2021)], "user_id long, account_id long, date date").withColumn("month", F.date_format("date", "yyyy-MM"))
+    got = matching.pruned(stored, upstream)
+    assert got.count() == 20 + 3 and {r.account_id for r in got.where("date < DATE '2021-01-01'").collect()} == {99}
+    assert matching.pruned(stored, upstream, outliers=0).count() == 63
+    assert matching.pruned(stored, upstream.limit(0)).count() == 0

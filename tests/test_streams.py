@@ -126,22 +126,6 @@ def test_time_out_of_an_activity(spark, tmp_path):
     assert [tuple(r) for r in spark.table("late").collect()] == [("act", "TIMEOUT", None, None)]
 
 
-def test_ingest_rounds_and_deletions(spark, tmp_path):
-    folder = tmp_path / "refreshes"
-    folder.mkdir()
-    lines = [{"activityId": a, "userId": "1", "userSiteId": s, "ingestionAccounts": []} for a, s in (("1", "s"), ("2", "s"), ("1", "r"))]
-    (folder / "a.json").write_text("\n".join(map(json.dumps, lines)))
-    seen = []
-    activities.ingest_stream(messages.read_refreshes(spark, str(folder), streaming=True), lambda df: seen.append(sorted((r.activityId, r.userSiteId) for r in df.collect())), str(tmp_path / "c1")).awaitTermination(120)
-    assert seen == [[("1", "r"), ("1", "s")], [("2", "s")]]
-    events = str(tmp_path / "events")
-    schema = "user_id long, user_site_id long, payload_type string"
-    spark.createDataFrame([(1, 2, "DELETE_USER_SITE"), (1, 3, "OTHER")], schema).write.parquet(events)
-    gone = []
-    activities.deletion_stream(spark.readStream.schema(schema).parquet(events), lambda df: gone.extend(df.collect()), str(tmp_path / "c2")).awaitTermination(120)
-    assert [tuple(r) for r in gone] == [(1, 2)]
-
-
 def test_read_refreshes_flattens_with_positions(spark, tmp_path):
     txn = {"externalId": "e", "dateTime": "2021-03-01T10:00:00+02:00", "amount": 1.5, "status": "BOOKED", "type": "DEBIT", "description": "d"}
     message = {"activityId": "a", "userId": "1", "userSiteId": "s", "ingestionAccounts": [{"accountId": "x", "currency": "EUR", "transactions": [txn, txn | {"status": "HOLD"}, txn | {"amount": None}]}]}

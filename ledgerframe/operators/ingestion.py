@@ -128,8 +128,10 @@ def apply_accounts(entries: DataFrame, accounts: DataFrame, stored: DataFrame, n
     """
     columns = [c for c in stored.columns if c not in ("month", "bucket")]
     rows = cut(transaction_rows(entries))
-    instructions, refused = reconcile(as_upstream(rows), stored)
-    instructions, refused = cut(instructions), cut(refused)
+    # one job for both: they share their shuffles
+    asked, failed = reconcile(as_upstream(rows), stored)
+    both = cut(asked.withColumn("outcome", F.lit(None).cast("string")).unionByName(failed, allowMissingColumns=True))
+    instructions, refused = both.where("outcome IS NULL"), both.where("outcome IS NOT NULL").select(*KEYS, "outcome")
     place = entries.select("activity_id", *MESSAGE, "account_id", "known", "whole", "pos")
     failures = refused.join(place, KEYS).select("activity_id", *MESSAGE, "account_id", F.concat(F.lit("RECONCILIATION_"), "outcome").alias("reason"))
     good = place.join(refused, KEYS, "left_anti")

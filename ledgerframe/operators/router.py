@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,24 +40,33 @@ def reconcile(upstream: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFr
     """
     provider = F.coalesce(F.col("provider"), F.lit(""))
     staged = provider.isin(*PROVIDER_STAGES)
+    strategy = F.when(staged, "attributes").when(provider == DELTA_PROVIDER, "delta").otherwise("default")
+    # a strategy that no account has is not planned at all: at most three values
+    wanted = {r.strategy for r in upstream.select(strategy.alias("strategy")).distinct().collect()}
     none = F.lit(None).cast("string")
+    keys = ", ".join(f"{k} {upstream.schema[k].dataType.simpleString()}" for k in KEYS)
+    spark = upstream.sparkSession
+    done = [spark.createDataFrame([], f"{keys}, strategy string, action string, stored_row string, upstream_row string, date date, fill_type string")]
+    failed = [spark.createDataFrame([], f"{keys}, strategy string, outcome string")]
 
-    bounded = [name for name, (window, _) in PROVIDER_STAGES.items() if window == "booking_date"]
-    stages = [(stage, provider.isin(*names)) for stage, names in _stage_plan()]
-    rows = match_attributes(upstream.where(staged), stored, stages, provider.isin(*bounded), provider == NUMERIC_ID_PROVIDER)
-    by_stage = attribute_instructions(rows).select(
-        *KEYS, F.lit("attributes").alias("strategy"), "action", F.when(F.col("action") == "DELETE", F.col("row")).alias("stored_row"),
-        F.when(F.col("action") == "INSERT", F.col("row")).alias("upstream_row"), "date", "fill_type",
-    )
-    unsound = rows.where("outcome <> 'OK'").select(*KEYS, F.lit("attributes").alias("strategy"), "outcome").distinct()
-
-    new = upstream.where(provider == DELTA_PROVIDER).withColumn("external_id", F.col("pos").cast("string"))
-    delta = reconcile_delta(new).select(*KEYS, F.lit("delta").alias("strategy"), "action", none.alias("stored_row"), F.col("row").alias("upstream_row"), "date", "fill_type")
-
-    rest = upstream.where(~staged & (provider != DELTA_PROVIDER))
-    finer = rest.where(~_whole_cents("amount")).select(*KEYS).distinct()
-    default = reconcile_default(rest.join(finer, KEYS, "left_anti"), stored)
-    regular = F.when(F.col("action") == "INSERT", "REGULAR")
-    greedy = default.select(*KEYS, F.lit("default").alias("strategy"), "action", "stored_row", "upstream_row", "date", regular.alias("fill_type"))
-    failures = unsound.unionByName(finer.select(*KEYS, F.lit("default").alias("strategy"), F.lit("FATAL_AMOUNT_SCALE").alias("outcome")))
-    return by_stage.unionByName(delta).unionByName(greedy).select(*COLUMNS), failures
+    if "attributes" in wanted:
+        bounded = [name for name, (window, _) in PROVIDER_STAGES.items() if window == "booking_date"]
+        stages = [(stage, provider.isin(*names)) for stage, names in _stage_plan()]
+        rows = match_attributes(upstream.where(staged), stored, stages, provider.isin(*bounded), provider == NUMERIC_ID_PROVIDER)
+        done.append(attribute_instructions(rows).select(
+            *KEYS, F.lit("attributes").alias("strategy"), "action", F.when(F.col("action") == "DELETE", F.col("row")).alias("stored_row"),
+            F.when(F.col("action") == "INSERT", F.col("row")).alias("upstream_row"), "date", "fill_type",
+        ))
+        failed.append(rows.where("outcome <> 'OK'").select(*KEYS, F.lit("attributes").alias("strategy"), "outcome").distinct())
+    if "delta" in wanted:
+        new = upstream.where(provider == DELTA_PROVIDER).withColumn("external_id", F.col("pos").cast("string"))
+        done.append(reconcile_delta(new).select(*KEYS, F.lit("delta").alias("strategy"), "action", none.alias("stored_row"), F.col("row").alias("upstream_row"), "date", "fill_type"))
+    if "default" in wanted:
+        rest = upstream.where(~staged & (provider != DELTA_PROVIDER))
+        finer = rest.where(~_whole_cents("amount")).select(*KEYS).distinct()
+        default = reconcile_default(rest.join(finer, KEYS, "left_anti"), stored)
+        regular = F.when(F.col("action") == "INSERT", "REGULAR")
+        done.append(default.select(*KEYS, F.lit("default").alias("strategy"), "action", "stored_row", "upstream_row", "date", regular.alias("fill_type")))
+        failed.append(finer.select(*KEYS, F.lit("default").alias("strategy"), F.lit("FATAL_AMOUNT_SCALE").alias("outcome")))
+    one = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
+    return one(done).select(*COLUMNS), one(failed)

@@ -1,112 +1,164 @@
 """Exact top-k by inner product with vector-approximation files.
 
 Every component of a vector is quantised to one of ``CELLS`` cells of equal
-width over the table's value range; the one-byte cells are the approximation
-file. A query scans the cells first: the product with the cell middles, plus or
-minus half a cell times the query's absolute sum, bounds the true score. Exact
-vectors are then read in the order of the bounds, in growing rounds, until the
-k-th exact score beats the best bound of all unread ones.
-
-The query set meets all candidates in a grid of blocks: candidates and queries
-are dealt to blocks of about ``BLOCK`` and ``QUERY_BLOCK`` rows by hash, and
-each pair of blocks is one task's group, so a group is bounded whatever the
-table's size. A window then merges the k best of each block per query.
+width over the table's value range; one byte a component, in packed blocks of
+``BLOCK`` rows, is the approximation file. The work has four steps:
+
+1. The file is scanned for all queries, a block of it against a block of
+   queries at a time. The product with the cell middles, plus half a cell times
+   the query's absolute sum, bounds a candidate's score. The ``k`` best bounds
+   of a query are kept.
+2. The exact vectors of those are read; the k-th of their scores is reached by
+   the true k-th for certain.
+3. The file is scanned again: candidates whose bound is below that score are
+   ruled out, whatever their exact vectors hold.
+4. The exact vectors of the rest are read, and the k best of them are the answer.
+
+Exact vectors are shuffled by row to the blocks that ask for them, so a vector
+that no bound admits is sent to no block. Blocks bound every group, however many
+candidates a query is left with.
 
 Edge cases: vectors that are null, empty, or hold a null or non-finite
 component, and rows with a null id, take no part; vectors of another length
-than the query's are no candidates; exact repeats of (id, vector) count once;
-a query with fewer than k candidates returns all; an empty table gives an
-empty result.
+than the query's are no candidates. A row is known by a number of its own, so
+repeats of an id or of a whole row are rows like any other: each asks, each is
+a candidate of all others, and an id that asks twice has two lists. A query with
+fewer than k candidates returns all; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
 SCALE = 64
 CELLS = 32
-BLOCK, QUERY_BLOCK = 2048, 512
-FIRST_READ = 64
-OUT = "query_id long, vec_id long, score long"
+BLOCK, QUERY_BLOCK = 4096, 512
+PAIR = "dim int, qb int, cb int, asker long, n long, bound double"
+SCORED = "asker long, query_id long, vec_id long, score long"
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     lists = column.combine_chunks()
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    return flat.reshape(len(lists), -1)
-
-
-def block_topk(queries: np.ndarray, query_ids: np.ndarray, exact: np.ndarray, ids: np.ndarray, low: int, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate row, score) of each query's k best in this block, ties to the smaller id."""
-    cells = np.floor_divide(exact - low, width).astype(np.uint8)
-    middles = (cells * np.float64(width) + (low + (width - 1) / 2)).astype(np.float64)
-    scan = queries.astype(np.float64) @ middles.T
-    slack = np.abs(queries).sum(axis=1) * ((width - 1) / 2)
-    slack = slack + 1e-9 * (1 + np.abs(queries).sum(axis=1) * np.abs(middles).max(initial=1))
-    scan[query_ids[:, None] == ids[None, :]] = -np.inf
-    total = (scan > -np.inf).sum(axis=1)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    open_rows, read = np.arange(len(queries)), min(max(FIRST_READ, k), len(ids))
-    while len(open_rows):
-        part = scan[open_rows]
-        order = np.argpartition(-part, read - 1, axis=1) if read < len(ids) else np.broadcast_to(np.arange(len(ids)), part.shape)
-        front = order[:, :read]
-        scores = np.einsum("qd,qmd->qm", queries[open_rows], exact[front])
-        usable = np.take_along_axis(part, front, 1) > -np.inf
-        scores = np.where(usable, scores, np.iinfo(np.int64).min)
-        kth = np.partition(scores, read - k, axis=1)[:, read - k] if read >= k else np.full(len(open_rows), np.iinfo(np.int64).min)
-        if read < len(ids):
-            bound = np.take_along_axis(part, order[:, read:], 1).max(axis=1) + slack[open_rows]
-            certain = (bound < kth) | (total[open_rows] <= read) & (np.count_nonzero(usable, axis=1) == total[open_rows])
-        else:
-            certain = np.ones(len(open_rows), dtype=bool)
-        for at in np.flatnonzero(certain):
-            rows = front[at][usable[at]]
-            own = scores[at][usable[at]]
-            best = np.lexsort((ids[rows], -own))[:k]
-            found.append((np.full(len(best), open_rows[at]), rows[best], own[best]))
-        open_rows = open_rows[~certain]
-        read = min(len(ids), read * 4)
-    if not found:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def bounds(queries: np.ndarray, cells: np.ndarray, low: int, width: int) -> np.ndarray:
+    """Upper bounds of the products of all queries with all candidates, known by their cells."""
+    middles = cells * np.float64(width) + (low + (width - 1) / 2)
+    weight = np.abs(queries).sum(axis=1, dtype=np.float64)
+    slack = weight * ((width - 1) / 2) + 1e-9 * (1 + weight * np.abs(middles).max(initial=1))
+    return queries.astype(np.float64) @ middles.T + slack[:, None]
+
+
+def _packed(rows: DataFrame, block: str, values: str, dtype: str) -> DataFrame:
+    """One row for each block: its row numbers, its k-th scores, and its vectors as bytes."""
+
+    def pack(group: pa.Table) -> pa.Table:
+        first = group.slice(0, 1)
+        return pa.table({
+            "dim": first.column("dim"), block: first.column(block), "ns": [group.column("n").to_numpy().astype("<i8").tobytes()],
+            "least": [group.column("least").to_numpy().astype("<f8").tobytes()], "values": [_matrix(group.column(values)).astype(dtype).tobytes()],
+        })
+
+    return rows.select("dim", block, "n", "least", values).groupBy("dim", block).applyInArrow(pack, f"dim int, {block} int, ns binary, least binary, values binary")
+
+
+def _admitted(asking: DataFrame, file: DataFrame, blocks: int, low: int, width: int, k: int | None) -> DataFrame:
+    """Scans the file: the ``k`` best bounds of a query in each block, or without ``k`` all that reach its least score."""
+    pairs = (
+        asking.select("dim", "qb", F.col("ns").alias("q_ns"), "least", F.col("values").alias("q_values"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb"))
+        .join(file.select("dim", "cb", "ns", "values"), ["dim", "cb"])
+    )
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                raw = {name: batch.column(name)[row].as_py() for name in batch.schema.names}
+                askers, ns = np.frombuffer(raw["q_ns"], "<i8"), np.frombuffer(raw["ns"], "<i8")
+                queries = np.frombuffer(raw["q_values"], "<i8").reshape(len(askers), -1)
+                upper = bounds(queries, np.frombuffer(raw["values"], np.uint8).reshape(len(ns), -1), low, width)
+                _, own, itself = np.intersect1d(askers, ns, assume_unique=True, return_indices=True)
+                upper[own, itself] = -np.inf
+                if k is None:
+                    at, of = np.nonzero((upper >= np.frombuffer(raw["least"], "<f8")[:, None]) & (upper > -np.inf))
+                else:
+                    best = np.argpartition(-upper, k - 1, axis=1)[:, :k] if k < len(ns) else np.broadcast_to(np.arange(len(ns)), upper.shape)
+                    at, of = np.repeat(np.arange(len(askers)), best.shape[1]), best.ravel()
+                    real = upper[at, of] > -np.inf
+                    at, of = at[real], of[real]
+                yield pa.RecordBatch.from_pydict({
+                    **{name: pa.array(np.full(len(at), raw[name], dtype=np.int32)) for name in ("dim", "qb", "cb")},
+                    "asker": pa.array(askers[at]), "n": pa.array(ns[of]), "bound": pa.array(upper[at, of]),
+                })
+
+    return pairs.mapInArrow(scan, PAIR)
+
+
+def exact_scores(admitted: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """Reads the exact vectors of admitted pairs; each query's k best in each block of candidates."""
+    place = ["dim", "qb", "cb"]
+    wanted = admitted.select(*place, F.explode(F.array("n", "asker")).alias("n")).distinct()
+    vectors = wanted.join(rows.select("n", "vec_id", "v"), "n").select(*(F.col(c).alias(f"at_{c}") for c in place), "n", "vec_id", "v")
+
+    def score(pairs: pa.Table, read: pa.Table) -> pa.Table:
+        ns = read.column("n").to_numpy()
+        order = np.argsort(ns)
+        exact, ids = _matrix(read.column("v"))[order], read.column("vec_id").to_numpy()[order]
+        asker = pairs.column("asker").to_numpy()
+        q, c = (np.searchsorted(ns[order], pairs.column(name).to_numpy()) for name in ("asker", "n"))
+        scores = np.empty(len(q), dtype=np.int64)
+        for start in range(0, len(q), 1 << 15):
+            part = slice(start, start + (1 << 15))
+            scores[part] = np.einsum("pd,pd->p", exact[q[part]], exact[c[part]])
+        best = np.lexsort((ids[c], -scores, asker))
+        nth = np.arange(len(best)) - np.searchsorted(asker[best], asker[best])
+        best = best[nth < k]
+        return pa.table({"asker": asker[best], "query_id": ids[q[best]], "vec_id": ids[c[best]], "score": scores[best]})
+
+    return admitted.groupBy(*place).cogroup(vectors.groupBy(*(f"at_{c}" for c in place))).applyInArrow(score, SCORED)
+
+
+def _first(rows: DataFrame, k: int, *order: Column) -> DataFrame:
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("asker").orderBy(*order))).where(F.col("rank") <= k)
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 20, id_col="vec_id", vector_col="embedding", scale: int = SCALE) -> DataFrame:
     """Rows of (query_id, rank, vec_id, score): each query row's k best among all other rows."""
     x = F.col(vector_col).cast("array<double>")
     usable = F.col(vector_col).isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    whole = cut(
+    rows = cut(
         vectors.where(usable & F.col(id_col).isNotNull())
         .select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * scale)).alias("v"), is_query.alias("asks"))
-        .withColumn("dim", F.size("v")).dropDuplicates(["vec_id", "v"])
+        .withColumns({"dim": F.size("v"), "n": F.monotonically_increasing_id()})
     )
-    shape = whole.agg(F.count("*"), F.count_if("asks"), F.min(F.array_min("v")), F.max(F.array_max("v"))).first()
+    shape = rows.agg(F.count("*"), F.count_if("asks"), F.min(F.array_min("v")), F.max(F.array_max("v"))).first()
     if not shape[1]:
-        return whole.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
+        return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
     low, width = int(shape[2]), max(1, -(-(int(shape[3]) - int(shape[2]) + 1) // CELLS))
     blocks, query_blocks = -(-shape[0] // BLOCK), -(-shape[1] // QUERY_BLOCK)
+    none = F.lit(float("-inf"))
 
-    def every(n):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    def dealt(n: int) -> Column:
+        return F.pmod(F.xxhash64("n"), F.lit(n)).cast("int")
 
-    candidates = whole.select("vec_id", "v", "dim", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("cb"), every(query_blocks).alias("qb"))
-    asking = whole.where("asks").select("vec_id", "v", "dim", every(blocks).alias("cb"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int").alias("qb"))
+    cells = F.transform("v", lambda c: F.floor((c - low) / width).cast("tinyint"))
+    file = cut(_packed(rows.select("dim", "n", dealt(blocks).alias("cb"), none.alias("least"), cells.alias("cells")), "cb", "cells", "u1"))
+    asking = rows.where("asks").select("dim", "n", dealt(query_blocks).alias("qb"), none.alias("least"), "v")
 
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        q, c = _matrix(right.column("v")), _matrix(left.column("v"))
-        qid, cid = right.column("vec_id").to_numpy(), left.column("vec_id").to_numpy()
-        of, at, scores = block_topk(q, qid, c, cid, low, width, k)
-        return pa.table({"query_id": qid[of], "vec_id": cid[at], "score": scores})
+    def scan(queries: DataFrame, best: int | None) -> DataFrame:
+        return _admitted(_packed(queries, "qb", "v", "<i8"), file, blocks, low, width, best)
 
-    near = candidates.groupBy("dim", "cb", "qb").cogroup(asking.groupBy("dim", "cb", "qb")).applyInArrow(meet, OUT)
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ahead = cut(_first(scan(asking, k), k, F.col("bound").desc(), F.col("n")).drop("rank"))
+    read = exact_scores(ahead, rows, k)
+    least = read.groupBy(F.col("asker").alias("n")).agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("kth"))
+    certain = asking.join(least, "n", "left").select("dim", "n", "qb", F.coalesce("kth", "least").alias("least"), "v")
+    left = cut(scan(certain, None).drop("bound"))
+    best = _first(exact_scores(left, rows, k), k, F.col("score").desc(), F.col("vec_id"))
+    return best.select("query_id", "rank", "vec_id", "score")

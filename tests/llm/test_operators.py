@@ -260,30 +260,32 @@ def test_subword_classifier(spark, docs, none):
     assert {r.score for r in collected(subword_classifier.score(docs, unlearned))} == {0.5}
 
 
-def test_va_topk(spark):
+def test_va_topk(spark, monkeypatch):
+    monkeypatch.setattr(va_topk, "BLOCK", 64)
+    monkeypatch.setattr(va_topk, "QUERY_BLOCK", 8)
     rng = np.random.default_rng(2)
     vectors = [(i, rng.normal(0, 0.2, 16).tolist()) for i in range(300)]
-    vectors += [(300 + i, vectors[20][1]) for i in range(60)] + [(400, None), (401, [0.1] * 15 + [None]), (402, [float("nan")] * 16), (403, [float("inf")] * 16), (404, []), (None, vectors[0][1]), (420, [0.1, 0.2]), (421, [0.3, 0.4]), (20, vectors[20][1])]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumns({"v": F.lit(1), "dim": F.lit(2), "cb": F.lit(3)})
-    clean = {i: [int(np.floor(64 * x)) for x in v] for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
-    wanted = set()
-    for q in (i for i in clean if i % 20 == 0):
-        scores = sorted((-int(np.dot(clean[q], v)), i) for i, v in clean.items() if i != q and len(v) == len(clean[q]))
-        wanted |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:20])}
-    got = collected(va_topk.top_k(df, F.col("vec_id") % 20 == 0))
-    assert len(got) == len(wanted) and {tuple(r) for r in got} == wanted
+    vectors += [(300 + i, vectors[20][1]) for i in range(60)] + [(400, None), (401, [0.1] * 15 + [None]), (402, [float("nan")] * 16), (403, [float("inf")] * 16), (404, []), (None, vectors[0][1]), (420, [0.1, 0.2]), (421, [0.3, 0.4])]
+    # Repeats: a whole row twice, one id with two vectors, and vectors that differ by less than a step.
+    vectors += [(20, vectors[20][1]), (20, vectors[21][1]), (7, vectors[7][1]), (8, [x + 1e-9 for x in vectors[8][1]]), (460, [0.5]), (460, [0.5])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3).withColumns({c: F.lit(1) for c in ("v", "dim", "cb", "n", "qb", "least", "asks")})
+    clean = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    wanted = []
+    for at, (q, x) in enumerate(clean):
+        if q % 20 == 0:
+            scores = sorted((-int(np.dot(x, v)), i) for other, (i, v) in enumerate(clean) if other != at and len(v) == len(x))
+            wanted += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:20])]
+    assert sorted(tuple(r) for r in collected(va_topk.top_k(df, F.col("vec_id") % 20 == 0))) == sorted(wanted)
     assert collected(va_topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0)) == []
 
 
-def test_va_topk_reads_on_until_certain():
+def test_va_topk_bounds_rule_out_no_answer():
     rng = np.random.default_rng(4)
     exact = rng.integers(-40, 40, (3000, 8))
-    exact[:500] = exact[0]
-    ids = rng.permutation(3000)
-    of, at, scores = va_topk.block_topk(exact[:5], ids[:5], exact, ids, -40, 20, 10)
-    for q in range(5):
-        brute = sorted((-int(exact[q] @ exact[c]), int(ids[c])) for c in range(3000) if c != q)[:10]
-        assert sorted((-int(s), int(ids[c])) for c, s in zip(at[of == q], scores[of == q], strict=True)) == brute
+    for width in (1, 3, 20):
+        upper = va_topk.bounds(exact[:50], ((exact + 40) // width).astype(np.uint8), -40, width)
+        products = exact[:50] @ exact.T
+        assert (upper >= products).all() and (upper - products <= 2 * (1 + np.abs(exact[:50]).sum(axis=1))[:, None] * width).all()
 
 
 def stats(text):

@@ -39,8 +39,11 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 TILE_ROWS = 4096
 #: Population counts that share a tile class.
 CLASS_WIDTH = 2
-#: From so many distinct fingerprints on, tiles go by the counts of four parts instead of two.
-FINE_ROWS = 1 << 21
+#: From so many distinct fingerprints on, tiles go by the counts of four parts instead of two: fewer
+#: pairs to compare, but in a small table thousands of tiles of a few rows each.
+FINE_ROWS = 1 << 18
+#: A key with more than one row in so many is hot: at most so many keys are, whatever the table's size.
+HOT_SHARE = 1000
 MAX_ROUNDS = 60
 
 
@@ -146,9 +149,12 @@ def tile_links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_
         .where((F.col("class") != F.col("b_class")) | (F.col("cut") <= F.col("b_cut")))
         .select("class", "cut", "b_class", "b_cut")
     )
+    # By pairs of tiles, in a fixed number of parts: comparing costs more than its bytes tell.
+    spread = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = (
         asked.join(tiles.withColumnRenamed("fps", "a"), ["class", "cut"])
         .join(tiles.select(F.col("class").alias("b_class"), F.col("cut").alias("b_cut"), F.col("fps").alias("b")), ["b_class", "b_cut"])
+        .repartition(spread, "class", "cut", "b_class", "b_cut")
         .select("a", "b", ((F.col("class") == F.col("b_class")) & (F.col("cut") == F.col("b_cut"))).alias("same"))
     )
 
@@ -188,11 +194,24 @@ def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def looked_up(rows: DataFrame, found: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows``, ``total`` of them, with the columns of ``found``, which has one row for each key and the number ``n`` of its rows.
+
+    Rows of hot keys, at most ``HOT_SHARE`` keys, take them from a broadcast; no task gets a hot key's rows.
+    """
+    hot = F.col("n") * HOT_SHARE > total
+    few = found.where(hot).drop("n")
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(found.where(~hot).drop("n"), key)
+    return rows.join(F.broadcast(few), key).unionByName(rest)
+
+
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """Rows of (doc_id, fp, component_id): the smallest id that links reach from the document."""
     marked = cut(with_fingerprint(docs, id_col, text_col, shingle))
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    kinds, total = distinct.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     found = components(tile_links(distinct.select("fp"), radius))
-    rooted = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(rooted.select("fp", "root").join(lowest, "root"), "fp").select("doc_id", "fp", "component_id")
+    rooted = cut(distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
+    lowest = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")))
+    named = cut(looked_up(rooted.select("fp", "root", F.col("n").alias("copies")), lowest, "root", kinds).select("fp", "component_id", F.col("copies").alias("n")))
+    return looked_up(marked, named, "fp", total).select("doc_id", "fp", "component_id")

@@ -340,7 +340,9 @@ def linked(prints, ids):
     return [find(i) for i in range(len(ids))]
 
 
-def test_simhash_tiles(docs, none, rows):
+@pytest.mark.parametrize("share", [1000, 4])
+def test_simhash_tiles(docs, none, rows, monkeypatch, share):
+    monkeypatch.setattr(simhash_tiles, "HOT_SHARE", share)  # with 4, only keys of more than a quarter of the rows are hot
     got = collected(simhash_tiles.near_duplicates(docs))
     prints, ids = [fingerprint(r[1]) for r in rows], [r[0] for r in rows]
     roots = linked(prints, ids)

@@ -56,8 +56,9 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices notification "
     "newsletter subscribe subscription popup modal overlay sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus respond reply replies "
-    "social share sharing related recommended recommendations widget toolbar pagination pager login signup search skip alert".split()
+    "social share sharing related recommended recommendations teaser teasers widget toolbar pagination pager login signup search skip alert".split()
 )
+SIDE_ARTICLES = frozenset("comment comments reply replies teaser teasers related recommended advert advertisement sponsored".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z:_-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -69,9 +70,11 @@ def _boilerplate(name: str, attributes: str, in_article: bool) -> bool:
         return True
     if not attributes:
         return False
+    # A page's own article may bear any layout's name; comments and teasers are articles too, mostly inside it.
+    marks = MARKS if in_article or name not in ("html", "body", "article", "main") else SIDE_ARTICLES if name == "article" else frozenset()
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and not MARKS.isdisjoint(re.split(r"[\s_-]+", value)):
+        if key in ("class", "id") and not marks.isdisjoint(re.split(r"[\s_-]+", value)):
             return True
         if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return True
@@ -134,16 +137,17 @@ def page_blocks(page: str) -> tuple[list[str], list[tuple[str, bool]]]:
                 out = ""
             else:
                 continue
-        if article and name == article:
+        if article and name == article and (closing or not _boilerplate(name, attributes, True)):
             article_depth += -1 if closing else 1
             if not article_depth:
                 article = ""
             continue
         if closing:
             continue
-        if _is_article(name, attributes) and not article:
+        aside = _boilerplate(name, attributes, bool(article))
+        if _is_article(name, attributes) and not article and not (aside and name == "article"):
             article, article_depth = name, 1
-        elif _boilerplate(name, attributes, bool(article)):
+        elif aside:
             out, out_depth = name, 1
     flush()
     return inner, outer

@@ -118,6 +118,30 @@ def test_piece_codec(docs, none, rows):
     assert collected(piece_codec.encode(none, PIECES)) == []
 
 
+def test_bytes_cut_at_the_spans_are_the_pieces():
+    codec, library = piece_codec.Codec(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(6)
+    texts = ["", " ", "a", "  two  spaces ", "tab\tline\n\nend", "日本語 \U0001F600\U0001F9EC x", "naïve café ▁mark", "x" * 3000, "\x00\x01"]
+    texts += ["".join(rng.choice("ab éß語\U0001F600  .\n") for _ in range(rng.randrange(1, 200))) for _ in range(50)]
+
+    def surface(piece):
+        if library.is_control(piece):
+            return b""
+        name = library.id_to_piece(piece)
+        return bytes([int(name[3:5], 16)]) if library.is_byte(piece) else name.replace("▁", " ").encode()
+
+    column = pa.array(texts)
+    ids, per_text = codec.ids(column)
+    ends, at = codec.span_ends(column, ids, per_text).tolist(), 0
+    for text, n in zip(texts, per_text.tolist(), strict=True):
+        raw, spans, pieces = text.encode(), ends[at : at + n], ids[at : at + n].tolist()
+        cuts = [raw[a:b].replace("▁".encode(), b" ") for a, b in zip([0, *spans], spans, strict=False)]
+        whole = [surface(x) for x in pieces]
+        whole[0] = whole[0].removeprefix(b" ")  # the space that the library puts in front of a text
+        assert cuts == whole and (not n or spans[-1] == len(raw))
+        at += n
+
+
 def test_character_map_takes_the_longest_prefix():
     """A hand-made double array with the keys "a", "ab" and "é", whose values are "X", "Y" and "e"."""
     keys, pool = {b"a": 0, b"ab": 2, "é".encode(): 4}, b"X\0Y\0e\0"

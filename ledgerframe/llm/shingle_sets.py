@@ -2,16 +2,17 @@
 
 Two documents are linked if the Jaccard similarity of their sets of
 ``SHINGLE``-word shingles is 4/5 or more; groups are the connected components.
-Fingerprint distance cannot decide this (similar sets may be many bits apart),
-so candidates come from prefixes: with all shingles in one global order, sets of
-that similarity share a shingle among the first n - ceil(4n/5) + 1 of either.
-The order puts shingles that a sample lists as common last; the sample moves
-work only, never results.
-
-Equal sets collapse to one row each. Per prefix shingle every set is first
-compared with one of its sets, the centre, the same for all shingles of a group
-as far as may be; sets that do not share a label with the centre (labels are
-smallest neighbours, a step further) are then compared with all sets of the shingle outside their own component, if they
+The first pairs are operator 10's: sets with equal fingerprints, or linked by its
+tiles. Similar sets may be many bits apart, so the others come from prefixes:
+with all shingles in one global order, sets of that similarity share a shingle
+among the first n - ceil(4n/5) + 1 of either. The order puts shingles that a
+sample lists as common last; the sample moves work only, never results.
+
+Equal sets collapse to one row each, and prefix shingles held by the same sets to
+one list. Every set is first compared with one set of each of its lists; then
+those without the label that most sets of a list have (labels are smallest
+neighbours, a few steps away) with ``NEXT_CENTRES`` sets that have it; what is
+still apart is compared with all sets of the list outside its own label, if they
 share enough prefix shingles: what lies behind the prefixes holds too few. Pairs
 with one label need no test, so a large group of near copies costs few
 comparisons, and no pair that could join two components is left out. Candidates
@@ -38,17 +39,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import byte_slices, cut
-from .simhash_tiles import SEED, components
+from .simhash_tiles import SEED, components, looked_up, tile_links, voted
 
 SHINGLE = 5
 #: Common shingles that the order knows, at most, and the share of the documents they are counted in (one in so many).
 COMMON, SAMPLED = 1 << 19, 16
 #: Words of 64 parity bits a set, and bits of the filter of documents whose whole sets are wanted.
 PARITIES, FILTER_BITS = 16, 1 << 25
+#: Sets with a shingle's most frequent label that its sets of other labels are compared with before they meet all.
+NEXT_CENTRES = 12
 
 
-def shingle_set(text: str) -> np.ndarray:
-    """The distinct hashes of a text's shingles, ascending."""
+def shingle_hashes(text: str) -> np.ndarray:
+    """The hashes of a text's shingles, repeats included."""
     words = text.encode().lower().split()  # bytes: ASCII letters and white space only
     if not words:
         return np.zeros(0, dtype=np.uint64)
@@ -57,17 +60,22 @@ def shingle_set(text: str) -> np.ndarray:
         return np.array([digest(line, SEED)], dtype=np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends[: len(words) - SHINGLE] + 1).tolist()]
-    return np.unique(np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist(), strict=True)], dtype=np.uint64))
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist(), strict=True)], dtype=np.uint64)
+
+
+def shingle_set(text: str) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending."""
+    return np.unique(shingle_hashes(text))
 
 
 def _mapped(docs: DataFrame, make, schema: str) -> DataFrame:
-    """``make`` applied to slices of the batches, with the shingle sets of their texts."""
+    """``make`` applied to slices of the batches, with the hashes of their texts' shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop in byte_slices(batch.column("text")):
                 part = batch.slice(start, stop - start)
-                yield make(part, [shingle_set(t) for t in part.column("text").to_pylist()])
+                yield make(part, [shingle_hashes(t) for t in part.column("text").to_pylist()])
 
     return docs.mapInArrow(run, schema)
 
@@ -84,8 +92,8 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     counts from the lowest power on at which that many are left at most.
     """
 
-    def hashes(part: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["shingle"])
+    def hashes(part: pa.RecordBatch, found: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.unique(h) for h in found]).view(np.int64))], ["shingle"])
 
     sample = docs.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLED)) == 0).select("text")
     level = F.floor(F.log2("n")).cast("int").alias("level")
@@ -118,15 +126,17 @@ def _parities(found: np.ndarray) -> np.ndarray:
 
 
 def _prefixed(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Rows of (key, doc_id, sig, size, prefix, parity): ``sig`` names the set of shingles."""
+    """Rows of (key, doc_id, sig, fp, size, prefix, parity): ``sig`` names the set of shingles, ``fp`` is operator 10's fingerprint."""
 
-    def make(part: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
+    def make(part: pa.RecordBatch, found: list[np.ndarray]) -> pa.RecordBatch:
+        prints = voted(np.concatenate(found), np.array([len(h) for h in found], dtype=np.int64))
+        sets = [np.unique(h) for h in found]
         sigs = np.array([_signature(s) for s in sets], dtype=np.uint64).view(np.int64)
         prefixes = [s[np.lexsort((s, _ranks(s, common)))[: len(s) - -(-4 * len(s) // 5) + 1]] for s in sets]
-        made = {"sig": pa.array(sigs), "size": pa.array([len(s) for s in sets], pa.int32()), "prefix": _lists(prefixes), "parity": _lists([_parities(s).view(np.uint64) for s in sets])}
+        made = {"sig": pa.array(sigs), "fp": pa.array(prints.view(np.int64)), "size": pa.array([len(s) for s in sets], pa.int32()), "prefix": _lists(prefixes), "parity": _lists([_parities(s).view(np.uint64) for s in sets])}
         return pa.RecordBatch.from_pydict({"key": part.column("key"), "doc_id": part.column("doc_id"), **made})
 
-    return _mapped(docs, make, "key long, doc_id long, sig long, size int, prefix array<long>, parity array<long>")
+    return _mapped(docs, make, "key long, doc_id long, sig long, fp long, size int, prefix array<long>, parity array<long>")
 
 
 def _alike(a: str, b: str):
@@ -201,30 +211,46 @@ def _similar(pairs: DataFrame) -> DataFrame:
 
 
 def _labels(links: DataFrame) -> DataFrame:
-    """Rows of (node, root) for nodes of links: the smallest node within two steps, or a little further.
+    """Rows of (node, root) for nodes of links: the smallest node within three steps, and from that on within three more.
 
     Nodes with one label are of one component; not all of a component need have
-    it, which costs comparisons and changes nothing. Members of a group of copies
-    have its centre's label after a step.
+    it, which costs comparisons and changes nothing.
     """
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    one = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")))
-    far = one.select(F.col("a").alias("root"), F.col("root").alias("far"))
-    return one.join(far, "root").select(F.col("a").alias("node"), F.col("far").alias("root"))
+    near = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root"))
+    for _ in range(2):
+        near = both.join(near.select(F.col("a").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("root"))
+    near = cut(near)
+    return near.join(near.select(F.col("a").alias("root"), F.col("root").alias("far")), "root").select(F.col("a").alias("node"), F.col("far").alias("root"))
+
+
+def _pair(a: str, b: str):
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+def _near_prints(named: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets by operator 10: a set and the first of its fingerprint, and the first ones of fingerprints that its tiles link."""
+    prints = cut(named.groupBy("fp").agg(F.min("sig").alias("first"), F.count("*").alias("n")))
+    total = prints.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    first_of = lambda c: prints.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))
+    linked = tile_links(prints.select("fp")).join(first_of("a"), "a").join(first_of("b"), "b").select(*_pair("a_first", "b_first"))
+    return looked_up(named.select("sig", "fp"), prints, "fp", total).where("sig <> first").select(*_pair("sig", "first")).unionByName(linked)
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
     """Rows of (key, doc_id, root), one for each row of (key, doc_id, text): rows with one root are of one group."""
     whole = docs.select("key", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     marked = cut(_prefixed(whole, common_shingles(whole)))
-    named = cut(marked.groupBy("sig").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("parity").alias("parity")))
+    named = cut(marked.groupBy("sig").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("parity").alias("parity"), F.min("fp").alias("fp")))
     per_token = Window.partitionBy("token")
     prefixes = lambda rows: rows.join(named.select("sig", "key"), ["sig", "key"], "left_semi").dropDuplicates(["sig", "key"]).select("sig", "size", "prefix")
     postings = prefixes(marked).select("sig", F.posexplode("prefix").alias("pos", "token"))
-    shared = cut(postings.withColumns({"n": F.count("*").over(per_token), "c_sig": F.min("sig").over(per_token)}).where("n > 1"))
-
-    def pair(a: str, b: str):
-        return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+    held = {"n": F.count("*"), "c_sig": F.min("sig"), "holders": F.bit_xor(F.xxhash64("sig"))}
+    # Shingles held by the same sets are one: a pair meets there once, at the earliest place.
+    shared = cut(
+        postings.withColumns({c: v.over(per_token) for c, v in held.items()}).where("n > 1")
+        .groupBy(F.xxhash64(*held).alias("token"), "sig", "n", "c_sig").agg(F.min("pos").alias("pos"))
+    )
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         side = lambda c: named.select(F.col("sig").alias(c), F.col("size").alias(f"{c}_size"), F.col("parity").alias(f"{c}_parity"))
@@ -236,26 +262,39 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         of = lambda c, name: sets.select(F.col("sig").alias(c), F.col("packed").alias(name))
         return _similar(close.join(of("b", "y"), "b").join(of("a", "x"), "a"))
 
-    tried = cut(shared.where("sig <> c_sig").select(*pair("sig", "c_sig")).distinct())
+    centred = shared.where("sig <> c_sig").select(*_pair("sig", "c_sig"))
+    tried = cut(_near_prints(named).unionByName(centred).distinct())
     links = cut(confirmed(tried))
-    near = _labels(links)
-    root_of = lambda c: near.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    placed = cut(
-        shared.where("n > 2").join(root_of("sig"), "sig", "left").join(root_of("c_sig"), "c_sig", "left")  # of two, one is the centre
-        .join(named.select("sig", "size", "parity"), "sig").select("token", "pos", "sig", "size", "parity", F.coalesce("sig_root", "sig").alias("root"), F.coalesce("c_sig_root", "c_sig").alias("c_root"))
-    )
-    apart = placed.where("root <> c_root").select("token", *(F.col(c).alias(f"o_{c}") for c in ("pos", "sig", "size", "root", "parity")))
+    facts = shared.where("n > 2").join(named.select("sig", "size", "parity"), "sig").select("token", "pos", "sig", "size", "parity")  # of two, one is the centre
+
+    def placed() -> DataFrame:
+        """The sets of a shingle with their label, and the label that most of them have."""
+        rooted = facts.join(_labels(links), F.col("sig") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sig")).drop("node")
+        counted = rooted.withColumn("most", F.struct(F.count("*").over(Window.partitionBy("token", "root")), "root"))
+        return cut(counted.withColumn("most", F.max("most").over(Window.partitionBy("token"))["root"]))
+
     near_sets = _alike("size", "o_size") & (9 * _odd_apart("parity", "o_parity") <= F.col("size") + F.col("o_size"))
     # The first shingle that similar sets share has all that they need to share at or behind it, in either set.
     need = F.ceil(4 * (F.col("size") + F.col("o_size")) / 9)
     early = (F.col("size") - F.col("pos") >= need) & (F.col("o_size") - F.col("o_pos") >= need)
-    met = apart.join(placed, "token").where((F.col("root") != F.col("o_root")) & early & near_sets).select(*pair("sig", "o_sig")).distinct()
-    fresh = cut(met.join(tried, ["a", "b"], "left_anti"))
-    asked = prefixes(marked.join(fresh.select(F.col("a").alias("sig")).unionByName(fresh.select(F.col("b").alias("sig"))).distinct(), "sig", "left_semi"))
-    of_set = lambda c: asked.select(F.col("sig").alias(c), F.col("size").alias(f"{c}_size"), F.col("prefix").alias(f"{c}_prefix"))
-    # In both sets, but not in both prefixes, are no more than lie behind the longer prefix.
-    behind = F.expr("(4 * greatest(a_size, b_size) + 4) div 5 - 1")
-    enough = 9 * (F.size(F.array_intersect("a_prefix", "b_prefix")) + behind) >= 4 * (F.col("a_size") + F.col("b_size"))
-    rest = fresh.join(of_set("a"), "a").join(of_set("b"), "b").where(enough).select("a", "b")
-    linked = components(links.unionByName(confirmed(rest)))
+
+    def met(places: DataFrame, others: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Untried pairs of the sets without the label that most have and those of ``others`` at one shingle, and which of them may be similar."""
+        apart = places.where("root <> most").select("token", *(F.col(c).alias(f"o_{c}") for c in ("pos", "sig", "size", "root", "parity")))
+        pairs = apart.join(others, "token").where((F.col("root") != F.col("o_root")) & early & near_sets).select(*_pair("sig", "o_sig")).distinct()
+        fresh = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+        asked = prefixes(marked.join(fresh.select(F.col("a").alias("sig")).unionByName(fresh.select(F.col("b").alias("sig"))).distinct(), "sig", "left_semi"))
+        of_set = lambda c: asked.select(F.col("sig").alias(c), F.col("size").alias(f"{c}_size"), F.col("prefix").alias(f"{c}_prefix"))
+        # In both sets, but not in both prefixes, are no more than lie behind the longer prefix.
+        behind = F.expr("(4 * greatest(a_size, b_size) + 4) div 5 - 1")
+        enough = 9 * (F.size(F.array_intersect("a_prefix", "b_prefix")) + behind) >= 4 * (F.col("a_size") + F.col("b_size"))
+        return fresh, fresh.join(of_set("a"), "a").join(of_set("b"), "b").where(enough).select("a", "b")
+
+    places = placed()
+    nth = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("sig", "token")))
+    fresh, pairs = met(places, places.where("root = most").withColumn("nth", nth).where(F.col("nth") <= NEXT_CENTRES).drop("nth"))
+    links, tried = cut(links.unionByName(confirmed(pairs))), tried.unionByName(fresh)
+    places = placed()
+    links = links.unionByName(confirmed(met(places, places)[1]))
+    linked = components(links)
     return marked.select("key", "doc_id", "sig").join(linked, F.col("sig") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "sig").alias("root"))

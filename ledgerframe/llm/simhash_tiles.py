@@ -65,13 +65,17 @@ def fingerprints(texts: list[str], shingle: int = SHINGLE, seed: int = SEED) ->
         starts = [0, *(ends[: len(words) - shingle] + 1).tolist()]
         hashes += [digest(line[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
         counts[row] = len(starts)
-    out = np.zeros(len(texts), dtype=np.uint64)
+    return voted(np.array(hashes, dtype=np.uint64), counts)
+
+
+def voted(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The fingerprint of each run of ``counts`` hashes: the bits that more than half of them have."""
+    out = np.zeros(len(counts), dtype=np.uint64)
     some = np.flatnonzero(counts)
     if len(some):
-        h = np.array(hashes, dtype=np.uint64)
         at = np.cumsum(counts[some]) - counts[some]
         for bit in range(64):
-            ones = np.add.reduceat((h >> np.uint64(bit)) & np.uint64(1), at, dtype=np.int64)
+            ones = np.add.reduceat((hashes >> np.uint64(bit)) & np.uint64(1), at, dtype=np.int64)
             out[some] |= (2 * ones > counts[some]).astype(np.uint64) << np.uint64(bit)
     return out
 

@@ -70,3 +70,54 @@ def test_similar_sets_far_apart_in_fingerprint(spark):
     x, y = simhash_tiles.fingerprints([a, b]).tolist()
     assert (x ^ y).bit_count() > simhash_tiles.RADIUS and len(shingle_sets.shingle_set(a)) / len(shingle_sets.shingle_set(b)) >= 0.8
     assert kept(spark, [(1, a), (2, b)]) == [(1, a)]
+
+
+def test_fingerprints_of_operator_ten_are_the_first_step(spark, monkeypatch):
+    from ledgerframe.llm import simhash_tiles
+
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(400)) for _ in range(6)]
+    texts += [f"{t} x{i}" for i, t in enumerate(texts)] + [f"y{i} {t}" for i, t in enumerate(texts)]
+    prints = simhash_tiles.fingerprints(texts, shingle_sets.SHINGLE).tolist()
+    near = {(i, j) for i, j in combinations(range(len(texts)), 2) if (prints[i] ^ prints[j]).bit_count() <= simhash_tiles.RADIUS}
+    seen, was = [], shingle_sets._near_prints
+    monkeypatch.setattr(shingle_sets, "_near_prints", lambda named: seen.append(was(named).collect()) or was(named))
+    got = kept(spark, list(enumerate(texts)))
+    assert [i for i, _ in got] == list(range(6)) and near
+    sigs = [shingle_sets._signature(shingle_sets.shingle_set(t)) for t in texts]
+    linked = {frozenset((r.a % 2**64, r.b % 2**64)) for r in seen[0]}
+    top = {s: s for s in sigs}
+
+    def root(s):
+        return s if top[s] == s else root(top[s])
+
+    for a, b in map(tuple, linked):
+        top[root(a)] = root(b)
+    assert all(root(sigs[i]) == root(sigs[j]) for i, j in near)
+
+
+def test_large_group_meets_few_pairs(spark, monkeypatch):
+    """Copies of copies beside foreign texts with the same line: the last step meets no square of the group."""
+    rng = random.Random(11)
+    line = " ".join(f"line{i}" for i in range(12))
+    base = [f"b{i}" for i in range(140)]
+    rows = [(0, " ".join(base) + " " + line)]
+    for i in range(1, 301):
+        words = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words) + " " + line))
+    rows += [(1000 + i, " ".join(f"f{rng.randrange(10**6)}" for _ in range(100)) + " " + line) for i in range(40)]
+    pairs, was = [], shingle_sets.cut
+
+    def counted(df):
+        out = was(df)
+        if out.columns == ["a", "b"]:
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(shingle_sets, "cut", counted)
+    got = kept(spark, rows)
+    wanted = [min(rows[k][0] for k in g) for g in brute([(i, t) for i, t in rows])]
+    assert [i for i, _ in got] == sorted(wanted)
+    assert max(pairs) < 12 * len(rows), pairs

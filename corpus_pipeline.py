@@ -17,13 +17,26 @@ from ledgerframe.llm import context_pii, curriculum_mix, piece_codec, shingle_se
 from ledgerframe.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+#: About the most bytes that a Python task gets at once; a longer row comes whole. An executor holds such
+#: batches outside its heap, on the way out and on the way back, for every task that it runs.
+BATCH_BYTES = 4 << 20
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches for the stages that read texts in Python; what they return does not depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject, unchanged; null and empty texts are scored like others."""
+    in_small_batches(spark)
     model = subword_classifier.fit(docs, table(spark, sf_dir, "labels"))
-    whole = docs.select(F.col("doc_id"), F.col("text"), F.struct("*").alias("_row"))
-    return subword_classifier.score(whole, model, keep=("_row",)).where("score >= 0.5").select("_row.*")
+    # The text goes to Python and back once, so it is not in the struct.
+    rest = F.struct(*(c for c in docs.columns if c != "text")).alias("rest")
+    whole = docs.select("doc_id", "text", F.struct(F.col("text").isNull().alias("none"), rest).alias("_row"))
+    good = subword_classifier.score(whole, model, keep=("_row",), with_text=True).where("score >= 0.5")
+    text = F.when(~F.col("_row.none"), F.col("_text")).alias("text")
+    return good.select(*(text if c == "text" else F.col("_row.rest").getField(c).alias(c) for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,6 +46,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     0.8 or more, directly or through others. Rows go by id and text, so clashing
     ids lose nothing; a row without an id comes after all ids.
     """
+    in_small_batches(spark)
     named = docs.select("doc_id", "text", F.struct("*").alias("_row")).withColumn("_own", F.xxhash64("doc_id", "text"))
     found = shingle_sets.similar_groups(named.select(F.col("_own").alias("key"), "doc_id", "text"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
@@ -69,6 +83,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids with byte spans, and whether decoding gives the text back."""
+    in_small_batches(spark)
     whole = docs.select(F.struct("doc_id", "lang", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash")).alias("row"), "text")
     coded = piece_codec.encode(whole, PIECES, id_col="row")
     return coded.select("doc_id.doc_id", "doc_id.lang", "doc_id.source", F.size("ids").alias("n_tokens"), "ids", "ends", (F.xxhash64("decoded") == F.col("doc_id.hash")).alias("lossless"))

@@ -211,17 +211,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     return train(rows["_text"].tolist(), rows["_label"].to_numpy(dtype=np.int64))
 
 
-def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of (doc_id, score) and the columns in ``keep``, scored from the text alone."""
+def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+    """Rows of (doc_id, score) and the columns in ``keep``, scored from the text alone; ``with_text`` adds it as ``_text``, empty if null."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "_text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if with_text or f.name != "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop in byte_slices(batch.column("_text")):
                 part = batch.slice(start, stop - start)
                 found = model.scores(part.column("_text"))
-                rest = [x for x in part.schema.names if x != "_text"]
+                rest = [x for x in part.schema.names if with_text or x != "_text"]
                 yield pa.RecordBatch.from_arrays([*(part.column(x) for x in rest), pa.array(found)], [*rest, "score"])
 
     return slim.mapInArrow(run, f"{schema}, score double")

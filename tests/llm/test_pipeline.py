@@ -3,6 +3,7 @@
 import re
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -57,3 +58,22 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF_DIR)
     assert docs.count() == 0
+
+
+def test_classifier_gets_each_text_once_in_small_batches(spark, monkeypatch):
+    class Bounded:
+        """Says yes to texts that came in a batch of moderate size."""
+
+        def scores(self, texts):
+            return np.full(len(texts), float(texts.buffers()[2].size <= 2 * corpus_pipeline.BATCH_BYTES))
+
+    sent = []
+    score = corpus_pipeline.subword_classifier.score
+    monkeypatch.setattr(corpus_pipeline.subword_classifier, "fit", lambda *a, **b: Bounded())
+    monkeypatch.setattr(corpus_pipeline.subword_classifier, "score", lambda docs, *a, **b: (sent.append(docs), score(docs, *a, **b))[1])
+    text = F.when(F.col("id") % 7 != 0, F.concat(F.col("id").cast("string"), F.repeat(F.lit(" words"), 1_500)))
+    docs = spark.range(0, 3_000, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("n_chars"))
+    good = corpus_pipeline.keep_good(spark, docs, SF_DIR)
+    assert good.columns == docs.columns
+    assert sorted(map(tuple, good.collect()), key=repr) == sorted(map(tuple, docs.collect()), key=repr)
+    assert sent[0].schema.simpleString().count("text:") == 1

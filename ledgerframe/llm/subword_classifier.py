@@ -5,7 +5,7 @@ its character n-grams (with word ends marked). A word bigram has the vector of
 its hash, and a word that repeats its predecessor the vector of one reserved
 bucket, whatever the word. A document is the average over its words plus the
 average over its bigrams; a softmax layer over that gives the class. Embeddings and output
-layer are trained by stochastic gradient descent in numpy on a bounded sample
+layer are trained by stochastic gradient descent in numpy, in one task, on a bounded sample
 of labelled rows (``SAMPLE_ROWS``, the lowest hashes of their ids).
 
 Because the output layer is linear in the average, scoring needs one number per
@@ -198,7 +198,10 @@ def fold(doc_id) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from at most ``sample_rows`` labelled rows outside the held-out fold, none longer than ``SAMPLE_TEXT_BYTES``."""
+    """Learns from at most ``sample_rows`` labelled rows outside the held-out fold, none longer than ``SAMPLE_TEXT_BYTES``.
+
+    The sample is learned from in a task, so the driver receives the model only.
+    """
     chosen = (
         labels.where(F.col(label_col).isin(0, 1) & (fold(F.col(id_col)) != HELD_FOLD))
         .select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
@@ -206,9 +209,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     )
     rows = (
         docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-        .where(F.octet_length("_text") <= SAMPLE_TEXT_BYTES).join(F.broadcast(chosen), "_id").orderBy(F.xxhash64("_id"), "_id", "_label", F.xxhash64("_text")).limit(sample_rows).toPandas()
+        .where(F.octet_length("_text") <= SAMPLE_TEXT_BYTES).join(F.broadcast(chosen), "_id").orderBy(F.xxhash64("_id"), "_id", "_label", F.xxhash64("_text")).limit(sample_rows)
     )
-    return train(rows["_text"].tolist(), rows["_label"].to_numpy(dtype=np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, marks = [], []
+        for batch in batches:
+            texts += batch.column("_text").to_pylist()
+            marks += batch.column("_label").to_pylist()
+        model = train(texts, np.array(marks, dtype=np.int64))
+        yield pa.RecordBatch.from_pydict({"weights": [model.weights.tobytes()], "bias": [model.bias]})
+
+    # The sorted sample is one partition; a plan without rows may have none.
+    made = rows.mapInArrow(run, "weights binary, bias double").collect()
+    return Model(np.frombuffer(made[0].weights), made[0].bias) if made else train([], np.zeros(0, dtype=np.int64))
 
 
 def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:

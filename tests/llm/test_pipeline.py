@@ -1,5 +1,6 @@
 """The corpus pipeline on the smallest tables, stage by stage."""
 
+import os
 import re
 
 import corpus_pipeline
@@ -77,3 +78,11 @@ def test_classifier_gets_each_text_once_in_small_batches(spark, monkeypatch):
     assert good.columns == docs.columns
     assert sorted(map(tuple, good.collect()), key=repr) == sorted(map(tuple, docs.collect()), key=repr)
     assert sent[0].schema.simpleString().count("text:") == 1
+
+
+def test_classifier_learns_outside_the_driver(spark, monkeypatch):
+    classifier = corpus_pipeline.subword_classifier
+    monkeypatch.setattr(classifier, "train", lambda texts, labels: classifier.Model(np.full(classifier.BUCKETS, len(texts) / 2), float(os.getpid())))
+    docs, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
+    model = classifier.fit(docs, labels, sample_rows=50)
+    assert model.bias != os.getpid() and (model.weights == 25).all() and len(model.weights) == classifier.BUCKETS

@@ -51,7 +51,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = shingle_sets.similar_groups(named.select(F.col("_own").alias("key"), "doc_id", "text"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
     stay = found.groupBy("root").agg(first).select(F.col("first.key").alias("_stays"), F.col("first.doc_id").alias("_id"))
-    same = (F.col("_own") == F.col("_stays")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    # Dealt by the hash alone, the rows are where their repeats are: texts are shuffled once.
+    id_ = F.col("doc_id").cast("long")
+    same = (F.col("_own") == F.col("_stays")) & F.when(id_.isNull(), F.col("_id").isNull()).otherwise(F.coalesce(id_ == F.col("_id"), F.lit(False)))
     return named.join(stay, same, "left_semi").dropDuplicates(["doc_id", "_own"]).select("_row.*")
 
 

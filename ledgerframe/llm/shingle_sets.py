@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, cut
+from .common import byte_slices, cut, gathered
 from .simhash_tiles import SEED, components, looked_up, tile_links, voted
 
 SHINGLE = 5
@@ -210,6 +210,10 @@ def _similar(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _gathered(df: DataFrame) -> DataFrame:
+    return gathered(df, cut)
+
+
 def _labels(links: DataFrame) -> DataFrame:
     """Rows of (node, root) for nodes of links: the smallest node within three steps, and from that on within three more.
 
@@ -220,7 +224,7 @@ def _labels(links: DataFrame) -> DataFrame:
     near = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root"))
     for _ in range(2):
         near = both.join(near.select(F.col("a").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("root"))
-    near = cut(near)
+    near = _gathered(near)
     return near.join(near.select(F.col("a").alias("root"), F.col("root").alias("far")), "root").select(F.col("a").alias("node"), F.col("far").alias("root"))
 
 
@@ -230,7 +234,7 @@ def _pair(a: str, b: str):
 
 def _near_prints(named: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets by operator 10: a set and the first of its fingerprint, and the first ones of fingerprints that its tiles link."""
-    prints = cut(named.groupBy("fp").agg(F.min("sig").alias("first"), F.count("*").alias("n")))
+    prints = _gathered(named.groupBy("fp").agg(F.min("sig").alias("first"), F.count("*").alias("n")))
     total = prints.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     first_of = lambda c: prints.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))
     linked = tile_links(prints.select("fp")).join(first_of("a"), "a").join(first_of("b"), "b").select(*_pair("a_first", "b_first"))
@@ -241,13 +245,13 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     """Rows of (key, doc_id, root), one for each row of (key, doc_id, text): rows with one root are of one group."""
     whole = docs.select("key", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     marked = cut(_prefixed(whole, common_shingles(whole)))
-    named = cut(marked.groupBy("sig").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("parity").alias("parity"), F.min("fp").alias("fp")))
+    named = _gathered(marked.groupBy("sig").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("parity").alias("parity"), F.min("fp").alias("fp")))
     per_token = Window.partitionBy("token")
     prefixes = lambda rows: rows.join(named.select("sig", "key"), ["sig", "key"], "left_semi").dropDuplicates(["sig", "key"]).select("sig", "size", "prefix")
     postings = prefixes(marked).select("sig", F.posexplode("prefix").alias("pos", "token"))
     held = {"n": F.count("*"), "c_sig": F.min("sig"), "holders": F.bit_xor(F.xxhash64("sig"))}
     # Shingles held by the same sets are one: a pair meets there once, at the earliest place.
-    shared = cut(
+    shared = _gathered(
         postings.withColumns({c: v.over(per_token) for c, v in held.items()}).where("n > 1")
         .groupBy(F.xxhash64(*held).alias("token"), "sig", "n", "c_sig").agg(F.min("pos").alias("pos"))
     )
@@ -255,7 +259,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     def confirmed(pairs: DataFrame) -> DataFrame:
         side = lambda c: named.select(F.col("sig").alias(c), F.col("size").alias(f"{c}_size"), F.col("parity").alias(f"{c}_parity"))
         fits = _alike("a_size", "b_size") & (9 * _odd_apart("a_parity", "b_parity") <= F.col("a_size") + F.col("b_size"))
-        close = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b"))
+        close = _gathered(pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b"))
         members = close.select(F.col("a").alias("sig")).unionByName(close.select(F.col("b").alias("sig"))).distinct()
         wanted = _filter_of(named.select("sig", "key").join(members, "sig", "left_semi"))
         sets = _whole_sets(whole, wanted)  # the filter may pass a set twice: that repeats a link
@@ -263,15 +267,15 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         return _similar(close.join(of("b", "y"), "b").join(of("a", "x"), "a"))
 
     centred = shared.where("sig <> c_sig").select(*_pair("sig", "c_sig"))
-    tried = cut(_near_prints(named).unionByName(centred).distinct())
-    links = cut(confirmed(tried))
+    tried = _gathered(_near_prints(named).unionByName(centred).distinct())
+    links = _gathered(confirmed(tried))
     facts = shared.where("n > 2").join(named.select("sig", "size", "parity"), "sig").select("token", "pos", "sig", "size", "parity")  # of two, one is the centre
 
     def placed() -> DataFrame:
         """The sets of a shingle with their label, and the label that most of them have."""
         rooted = facts.join(_labels(links), F.col("sig") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sig")).drop("node")
         counted = rooted.withColumn("most", F.struct(F.count("*").over(Window.partitionBy("token", "root")), "root"))
-        return cut(counted.withColumn("most", F.max("most").over(Window.partitionBy("token"))["root"]))
+        return _gathered(counted.withColumn("most", F.max("most").over(Window.partitionBy("token"))["root"]))
 
     near_sets = _alike("size", "o_size") & (9 * _odd_apart("parity", "o_parity") <= F.col("size") + F.col("o_size"))
     # The first shingle that similar sets share has all that they need to share at or behind it, in either set.
@@ -282,7 +286,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         """Untried pairs of the sets without the label that most have and those of ``others`` at one shingle, and which of them may be similar."""
         apart = places.where("root <> most").select("token", *(F.col(c).alias(f"o_{c}") for c in ("pos", "sig", "size", "root", "parity")))
         pairs = apart.join(others, "token").where((F.col("root") != F.col("o_root")) & early & near_sets).select(*_pair("sig", "o_sig")).distinct()
-        fresh = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+        fresh = _gathered(pairs.join(tried, ["a", "b"], "left_anti"))
         asked = prefixes(marked.join(fresh.select(F.col("a").alias("sig")).unionByName(fresh.select(F.col("b").alias("sig"))).distinct(), "sig", "left_semi"))
         of_set = lambda c: asked.select(F.col("sig").alias(c), F.col("size").alias(f"{c}_size"), F.col("prefix").alias(f"{c}_prefix"))
         # In both sets, but not in both prefixes, are no more than lie behind the longer prefix.
@@ -293,8 +297,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     places = placed()
     nth = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("sig", "token")))
     fresh, pairs = met(places, places.where("root = most").withColumn("nth", nth).where(F.col("nth") <= NEXT_CENTRES).drop("nth"))
-    links, tried = cut(links.unionByName(confirmed(pairs))), tried.unionByName(fresh)
+    links, tried = _gathered(links.unionByName(confirmed(pairs))), tried.unionByName(fresh)
     places = placed()
     links = links.unionByName(confirmed(met(places, places)[1]))
-    linked = components(links)
+    linked = components(links, save=_gathered)
     return marked.select("key", "doc_id", "sig").join(linked, F.col("sig") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "sig").alias("root"))

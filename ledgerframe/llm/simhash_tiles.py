@@ -175,12 +175,12 @@ def tile_links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_
     return pairs.mapInArrow(compare, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS, save=cut) -> DataFrame:
     """Rows of (node, root): the smallest node of each node's component, for nodes with an edge.
 
-    Alternates large-star and small-star until the edges no longer change.
+    Alternates large-star and small-star until the edges no longer change; ``save`` cuts the lineage between rounds.
     """
-    edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -188,7 +188,7 @@ def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = cut(small)
+        edges = save(small)
         state = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
         if state == before:
             break

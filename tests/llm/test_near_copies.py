@@ -121,3 +121,30 @@ def test_large_group_meets_few_pairs(spark, monkeypatch):
     wanted = [min(rows[k][0] for k in g) for g in brute([(i, t) for i, t in rows])]
     assert [i for i, _ in got] == sorted(wanted)
     assert max(pairs) < 12 * len(rows), pairs
+
+
+def test_many_partitions_are_read_by_few_tasks_and_texts_shuffled_once(spark):
+    """With many shuffle partitions, what a checkpoint holds in few rows goes on in few tasks; same rows as ever."""
+    from ledgerframe.llm import common, simhash_tiles
+
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    was = [spark.conf.get(n) for n in names]
+    try:
+        for n, v in zip(names, ("24", "false"), strict=True):
+            spark.conf.set(n, v)
+        edges = spark.createDataFrame([(i, i + 1) for i in range(10) if i != 4], "a long, b long")
+        found = simhash_tiles.components(edges, save=common.gathered)
+        assert found.rdd.getNumPartitions() <= max(2, spark.sparkContext.defaultParallelism)
+        assert sorted(map(tuple, found.collect())) == [(i, 0) for i in range(1, 5)] + [(i, 5) for i in range(6, 11)]
+        many = common.gathered(spark.range(24 * common.GATHERED_ROWS).repartition(24))
+        assert many.rdd.getNumPartitions() == 24 and many.count() == 24 * common.GATHERED_ROWS
+        assert common.gathered(edges.where("a < 0").groupBy("a").count()).collect() == []
+        text = "one two three four five six seven"
+        rows = [(1, text), (2, text), (None, text), (None, "eight nine ten eleven twelve"), (None, "eight nine ten eleven twelve"), (1, "a b")]
+        docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+        plan = (kept_rows := corpus_pipeline.drop_near_copies(spark, docs, ""))._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(doc_id" not in plan and "_own" in plan
+        assert sorted(((r.doc_id, r.text) for r in kept_rows.collect()), key=repr) == sorted([(1, text), (None, rows[3][1]), (1, "a b")], key=repr)
+    finally:
+        for n, v in zip(names, was, strict=True):
+            spark.conf.set(n, v)
